@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, terms
+from . import lookalike, spans, terms
 
 
 def p2_ledger(spark: SparkSession, sf_dir: str) -> tuple[terms.TermLedger, int]:
@@ -50,8 +50,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalikes(values, forms)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spans.shared_share(docs, spans.shared_spans(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found}
+    return {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
