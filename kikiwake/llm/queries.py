@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import lookalike, spans, terms
+from ..session import persisted, table
+from . import lookalike, mixing, packing, sizes, spans, terms
 
 
 def p2_ledger(spark: SparkSession, sf_dir: str) -> tuple[terms.TermLedger, int]:
@@ -50,6 +50,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalikes(values, forms)
 
 
+def doc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return persisted(table(spark, sf_dir, "documents").select("doc_id", "source", sizes.n_tokens(F.col("text")).alias("size")), "sizes")
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(doc_sizes(spark, sf_dir).withColumnRenamed("doc_id", "item_id"))
+    return packed.withColumnRenamed("item_id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p6_pack(spark, sf_dir))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(doc_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(doc_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"))
 
@@ -60,7 +81,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
