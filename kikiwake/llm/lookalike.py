@@ -2,8 +2,8 @@
 
 Method: normalization quick-check properties isolate the unstable segments of a string. A character is *stable* if the canonical
 mapping leaves it alone and it can't compose with what stands before it; a segment is one stable starter (the boundary context)
-followed by unstable characters. Only segments are rewritten, and spliced back between the untouched stretches. The same
-property, as a regular expression, keeps rows without any unstable character out of Python altogether.
+followed by unstable characters. Only segments are rewritten, and spliced back between the untouched stretches. Values that are a
+known form as they stand are taken out by a join before anything is rewritten.
 
 The canonical form ("look") drops invisible and blank characters, folds width variants, ligatures, radicals and compatibility
 ideographs, composes combining marks, and sends look-alike letters of other scripts to one prototype. Case, voicing marks, small
@@ -100,10 +100,6 @@ def unstable_ranges() -> tuple[tuple[int, int], ...]:
     return tuple((a, b) for a, b in out)
 
 
-def java_class(ranges: tuple[tuple[int, int], ...]) -> str:
-    return "[" + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-
-
 def segment_pattern(ranges: tuple[tuple[int, int], ...]) -> re.Pattern:
     cls = "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
     return re.compile(f"[^{cls}]?[{cls}]+")
@@ -115,16 +111,18 @@ def look_spliced(s: str, pattern: re.Pattern) -> str:
 
 
 def canonical(column: Column) -> Column:
-    """The canonical form of a string column. Strings without an unstable character never leave the JVM."""
+    """The canonical form of a string column, worked out once per distinct value of a batch. Not deterministic in name only: so the
+    planner neither repeats it nor moves it below the filters and joins that thin out its input."""
     ranges = unstable_ranges()
 
     @F.pandas_udf("string")
     def rewrite(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pattern = segment_pattern(ranges)
         for s in parts:
-            yield s.map(lambda v: None if v is None else look_spliced(v, pattern))
+            forms = {v: look_spliced(v, pattern) for v in s.dropna().unique()}
+            yield s.map(forms).astype(object).where(s.notna(), None)
 
-    return F.when(~column.rlike(java_class(ranges)), column).otherwise(rewrite(F.when(column.rlike(java_class(ranges)), column)))
+    return rewrite.asNondeterministic()(column)
 
 
 def lookalikes(values: DataFrame, lexicon: DataFrame, max_lexicon: int = 100_000) -> DataFrame:
