@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import persisted, table
-from . import lookalike, mixing, packing, sizes, spans, terms
+from . import lookalike, mixing, packing, sentences, sizes, spans, terms
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = table(spark, sf_dir, "articles").where("body_kind = 'Plain'")
+    return sentences.sentences(plain.select("article_idx", F.col("body").alias("text")), "article_idx")
 
 
 def p2_ledger(spark: SparkSession, sf_dir: str) -> tuple[terms.TermLedger, int]:
@@ -81,7 +86,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
