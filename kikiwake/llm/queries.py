@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import persisted, table
-from . import lookalike, mixing, packing, sentences, sizes, spans, terms
+from . import blocks, lookalike, mixing, packing, sentences, sizes, spans, terms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalikes(values, forms)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "articles").where("body_kind is null or body_kind <> 'Plain'")
+    return blocks.blocks(marked.select("article_idx", "body"), "article_idx")
+
+
 def doc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persisted(table(spark, sf_dir, "documents").select("doc_id", "source", sizes.n_tokens(F.col("text")).alias("size")), "sizes")
 
@@ -86,7 +91,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
