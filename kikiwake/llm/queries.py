@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import persisted, table
-from . import blocks, lookalike, mixing, packing, sentences, sizes, spans, terms
+from . import blocks, history, lookalike, mixing, packing, sentences, sizes, spans, terms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,16 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_ledger(spark, sf_dir)[0].counts()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pending = table(spark, sf_dir, "pending").select(F.col("article_idx").alias("idx"), F.col("article_key").alias("key"), "sentences", "batch_no")
+    batches = [r["batch_no"] for r in pending.select("batch_no").distinct().orderBy("batch_no").collect()]  # one value per delivery
+    past, out = history.History(spark), None
+    for b in batches:
+        repeats = past.add(pending.where(F.col("batch_no").eqNullSafe(F.lit(b))))
+        out = repeats if out is None else out.unionByName(repeats)
+    return out if out is not None else spark.createDataFrame([], "idx_a bigint, idx_b bigint")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens, cands, lex = table(spark, sf_dir, "tokens"), table(spark, sf_dir, "candidates"), table(spark, sf_dir, "lexicon")
 
@@ -91,7 +101,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
