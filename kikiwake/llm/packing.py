@@ -111,7 +111,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, targets: DataFrame | None =
 
     item_type = items.schema["item_id"].dataType.simpleString()
     schema = f"container string, item_id {item_type}, source string, piece int, start bigint, size int, offset bigint"
-    packed = laned.withColumn("h", h).groupBy("lane").cogroup(plan.groupBy("lane")).applyInPandas(one, schema)
+    plan = plan.withColumnRenamed("lane", "plan_lane")
+    packed = laned.withColumn("h", h).groupBy("lane").cogroup(plan.groupBy("plan_lane")).applyInPandas(one, schema)
     alone = full.select(F.concat_ws("-", F.lit("full"), F.col("item_id").cast("string"), F.col("piece").cast("string"), F.monotonically_increasing_id().cast("string")).alias("container"), "item_id", "source", "piece", "start", "size", F.lit(0).cast("bigint").alias("offset"))
     return packed.unionByName(alone)
 
