@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,12 +121,13 @@ def kanji_ratio(c: Column) -> Column:
 
 def unbalanced(c: Column) -> Column:
     """Any bracket type that closes before it opens, or stays open. The state is the depth, -1 once it went below zero."""
-    out = F.lit(False)
-    for o, e in BRACKETS:
+
+    def one(o: str, e: str) -> Column:
         only = F.regexp_replace(c, rf"[^\{o}\{e}]" if o == "(" else f"[^{o}{e}]", "")
-        depth = F.aggregate(F.split(only, ""), F.lit(0), lambda a, x, o=o, e=e: F.when(a < 0, a).when(x == o, a + 1).when(x == e, a - 1).otherwise(a))
-        out = out | ((only != "") & (depth != 0))
-    return out
+        depth = F.aggregate(F.split(only, ""), F.lit(0), lambda a, x: F.when(a < 0, a).when(x == o, a + 1).when(x == e, a - 1).otherwise(a))
+        return (only != "") & (depth != 0)
+
+    return reduce(lambda a, b: a | b, (one(o, e) for o, e in BRACKETS))
 
 
 def has_residue(c: Column) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from ..types import BLOCK
 
@@ -78,25 +79,22 @@ def opcodes(a: Sequence, b: Sequence) -> Iterator[tuple[str, int, int, int, int]
         yield ("equal", *run)
 
 
-@F.pandas_udf(f"array<{BLOCK}>")
-def _blocks(reference: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for r, h in reference:
+def _cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for r, h in parts:
         out = []
         for x, y in zip(r, h):
-            if x is None or y is None:
-                out.append([])
-                continue
-            x, y = list(x), list(y)
+            x, y = list(x) if x is not None else [], list(y) if y is not None else []
             ops = opcodes([t["surface"] for t in x], [t["surface"] for t in y])
             out.append([{"tag": t, "reference": x[a:b], "hypothesis": y[c:d]} for t, a, b, c, d in ops if t in ("equal", "replace")])
         yield pd.Series(out, dtype=object)
 
 
 def diff_rows(reference: Column, hypothesis: Column) -> Column:
-    """Equal and replace blocks in order."""
-    return _blocks(reference, hypothesis)
+    """Equal and replace blocks in order; a null side counts as empty."""
+    # not made when the module is loaded: workers load it, too, and have no session
+    return F.pandas_udf(_cut, f"array<{BLOCK}>", PandasUDFType.SCALAR_ITER)(reference, hypothesis)
 
 
 def replacements(reference: Column, hypothesis: Column) -> Column:
     """Replace blocks in order."""
-    return F.filter(_blocks(reference, hypothesis), lambda b: b["tag"] == "replace")
+    return F.filter(diff_rows(reference, hypothesis), lambda b: b["tag"] == "replace")

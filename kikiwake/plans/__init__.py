@@ -1 +1 @@
-"""See the modules of this package."""
+"""Queries over the driver's tables, each beside SQL that says the same."""

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Sources: articles from files and saved API payloads, logs, dictionaries, paired lines."""

@@ -1 +1,61 @@
-"""See the modules of this package."""
+"""Incremental forms: sentences arriving over time, a running dictionary, bounded catch-up runs."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions.keys import sentence_hash
+from ..operators import collect, pipeline, state
+
+
+def source(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def first_sentences(stream: DataFrame, text: str = "text", event_time: str | None = None, horizon: str = "30 days") -> DataFrame:
+    """The first of equal sentences. Without an event time the state grows with the distinct sentences, as a log of all that was seen
+    does; with one, sentences may come again after the horizon."""
+    keyed = stream.withColumn("sentence", sentence_hash(F.col(text)))
+    if event_time is None:
+        return keyed.dropDuplicates(["sentence"])
+    return keyed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["sentence"])
+
+
+def running_dictionary(outcomes: DataFrame) -> DataFrame:
+    """(word, count) of a stream of classified replacements, for output mode complete or update."""
+    return outcomes.where("is_homophone").groupBy(F.col("reference_surface").alias("word")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def windowed_dictionary(outcomes: DataFrame, event_time: str, window: str, lateness: str) -> DataFrame:
+    """(start, end, word, count) by event-time window; windows close when the watermark passes them."""
+    rows = outcomes.where("is_homophone").withWatermark(event_time, lateness)
+    return rows.groupBy(F.window(event_time, window).alias("w"), F.col("reference_surface").alias("word")).agg(F.count(F.lit(1)).alias("count")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "word", "count")
+
+
+def catch_up(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Work off what has arrived, then stop: the nightly run. The sink must be idempotent by key, as a batch may be repeated."""
+    return df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def log_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
+    return lambda batch, _: state.append_absent(batch, path, key)
+
+
+def session(pairs: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Dictionary and rejects of all pairs of a session so far."""
+    outcomes = pipeline.process(pairs)
+    return collect.danger(outcomes, order), collect.rejects(outcomes)
+
+
+def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over what is there and read its result as a table."""
+    w = df.writeStream.outputMode(mode).format("memory").queryName(name)
+    if checkpoint:
+        w = w.option("checkpointLocation", checkpoint)
+    q = w.trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
