@@ -54,3 +54,9 @@ def biased_key(audio: Column, model: Column, words: Column) -> Column:
 
 def bias_prompt(words: Column) -> Column:
     return F.when(F.size(words) > 0, F.array_join(words, " "))
+
+
+def words_per_minute(rate: Column) -> Column:
+    """Speaking rate as an engine option; null, that is left out, at the normal rate."""
+    r = rate.cast("float")
+    return F.when(r != 1, F.round(180 * r.cast("double")).cast("int"))

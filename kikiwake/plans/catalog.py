@@ -13,7 +13,7 @@ from ..functions import keys as K
 from ..functions import reading as R
 from ..functions import text as X
 from ..operators import collect, diff, evaluate, extract, harvest, pipeline, state, tokens
-from ..session import shared_dir, table
+from ..session import persisted, shared_dir, table
 from ..sources import articles as A
 from ..sources import logs
 from ..types import LENIENT, LOOSE, STRICT, ExtractOptions, NormalizeOptions
@@ -372,7 +372,8 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
 @query("e2e_danger", f"WITH o AS ({_OUTCOMES}), v AS ({_VOTES}) SELECT reference_surface AS word, arg_min(r, cand_id) AS reading, count(*) AS count FROM o SEMI JOIN (SELECT * FROM v WHERE speakers >= 2) USING (reference_surface, hypothesis_surface) WHERE is_homophone GROUP BY 1")
 def e2e(spark: SparkSession, d: str) -> DataFrame:
     """Classified, voted, tallied: the dictionary."""
-    return collect.danger(collect.passed(outcomes(spark, d), 2), ["cand_id"])
+    heard = outcomes(spark, d).select("cand_id", "speaker", "reference_surface", "hypothesis_surface", "reference_reading", "is_homophone")
+    return collect.danger(collect.passed(persisted(heard.where("is_homophone"), "outcomes"), 2), ["cand_id"])
 
 
 @query(
@@ -418,14 +419,20 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
     return words.withColumn("rank", rank).join(before, "neg").select((c("rank") + c("before")).cast("bigint").alias("pos"), "word", "count")
 
 
+def ranked_once(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The dictionary, worked out once for all that a sweep asks of it, and its length."""
+    words = persisted(dictionary(spark, d), "dictionary")
+    return words, words.count()
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.schedule(spark, danger(spark, d).count(), CAP, STEP)
 
 
 def the_curve(spark: SparkSession, d: str) -> DataFrame:
     """A word collides at every point that doesn't yet include it; outcomes are summed by word before they meet the points."""
-    pts = [r["n"] for r in points(spark, d).collect()]  # at most CAP / STEP + 2
-    words = dictionary(spark, d)
+    words, n_words = ranked_once(spark, d)
+    pts = [r["n"] for r in evaluate.schedule(spark, n_words, CAP, STEP).collect()]  # at most CAP / STEP + 2
     hit = words.select("count", F.explode(F.filter(F.array(*[F.lit(p) for p in sorted(pts)]), lambda n: n <= c("pos"))).alias("n"))
     sums = hit.groupBy("n").agg(F.sum("count").alias("c"))
     refs = table(spark, d, "candidates").select("cand_id").distinct().count()
@@ -487,7 +494,7 @@ def s04(spark: SparkSession, d: str) -> DataFrame:
 def st1(spark: SparkSession, d: str) -> DataFrame:
     """Distinct sentences of a stream over the documents, whatever arrives first."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet") if _is_dir(spark, d) else spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    stream = _stream(spark, d, "documents", docs)
     out = f"{shared_dir(spark)}/st1-{id(stream)}"
     first = streaming.first_sentences(stream).select("sentence")
     q = first.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
@@ -495,6 +502,78 @@ def st1(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("sentence string").parquet(f"{out}/rows")
 
 
-def _is_dir(spark: SparkSession, d: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+def _is_dir(spark: SparkSession, d: str, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+
+
+# ---------------------------------------------------------------- formats read back, keys, streams
+
+columns("m13_speaker_key", "candidates", ["cand_id"], lambda: {"key": K.speaker_key(c("speaker"), F.coalesce("article_key", F.lit("")))}, {"key": "speaker || ':' || coalesce(article_key, '')"})
+columns("m14_rate_key", "orders", ["o_orderkey"], lambda: {"key": K.rate_key(c("o_totalprice") / 100_000)}, {"key": S.rate_key("o_totalprice / 100000")})
+columns("m19_words_per_minute", "orders", ["o_orderkey"], lambda: {"wpm": K.words_per_minute(c("o_totalprice") / 100_000)}, {"wpm": "CASE WHEN (o_totalprice / 100000)::FLOAT = 1 THEN NULL ELSE CAST(round(180 * (o_totalprice / 100000)::FLOAT::DOUBLE) AS INT) END"})
+columns("m21_json", "lexicon", ["lex_id"], lambda: {"json": F.to_json(F.struct("surface", "reading"))}, {"json": "'{\"surface\":\"' || surface || '\",\"reading\":\"' || reading || '\"}'"})
+
+
+_DICT_WORDS = "SELECT dict_id, list(word ORDER BY pos, word) AS words FROM (SELECT DISTINCT dict_id, pos, word FROM amical_terms WHERE word IS NOT NULL) GROUP BY dict_id"
+
+
+@query("m16_biased_keys", f"SELECT dict_id, {S.content_key(S.lit('audio'), S.lit(MODEL), 'array_to_string(words, chr(31))')} AS key FROM ({_DICT_WORDS})")
+def m16(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "amical_terms").where("word is not null").select("dict_id", "pos", "word").distinct()
+    words = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])
+    return rows.groupBy("dict_id").agg(words.alias("words")).select("dict_id", K.biased_key(F.lit("audio"), F.lit(MODEL), c("words")).alias("key"))
+
+
+@query("s05_json_fields", "SELECT article_idx, coalesce(title, '') AS title, coalesce(popularity, 0) AS popularity FROM articles")
+def s05(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "articles").select("article_idx", F.to_json(F.struct("title", "popularity")).alias("p"))
+    return p.select("article_idx", A.text_or_empty(c("p"), "$.title").alias("title"), A.count_or_zero(c("p"), "$.popularity").alias("popularity"))
+
+
+@query("s14_counts", "SELECT str_split(line, chr(9))[1] AS word, TRY_CAST(str_split(line, chr(9))[2] AS BIGINT) AS count FROM (SELECT coalesce(word, '') || chr(9) || coalesce(CAST(count AS VARCHAR), '') AS line FROM danger) WHERE len(str_split(line, chr(9))) = 2")
+def s14(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.coalesce("word", F.lit("")), F.lit("\t"), F.coalesce(c("count").cast("string"), F.lit("")))
+    return logs.two_fields(table(spark, d, "danger").select(line.alias("value")))
+
+
+@query("s10_seen", "SELECT source || '/' || id AS article, NULL AS sentence FROM articles GROUP BY ALL")
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    """The log of seen articles written as JSON lines and read again."""
+    path = f"{shared_dir(spark)}/seen-{spark.sparkContext.applicationId}-{id(d)}"
+    table(spark, d, "articles").select(K.article_key(c("source"), c("id")).alias("article")).write.mode("overwrite").json(path)
+    return logs.seen(spark, path)
+
+
+@query("j04_schedule_refs", f"SELECT CAST(n AS INT) AS n, count(*) AS refs FROM ({_POINTS}), (SELECT DISTINCT article_key FROM candidates) GROUP BY n")
+def j04(spark: SparkSession, d: str) -> DataFrame:
+    pts = [r["n"] for r in points(spark, d).collect()]
+    refs = table(spark, d, "candidates").select("article_key").distinct()
+    return refs.withColumn("n", F.explode(F.array(*[F.lit(p) for p in pts]))).groupBy("n").agg(F.count(F.lit(1)).alias("refs"))
+
+
+@query("o03_bias_words", f"SELECT CAST(n AS INT) AS n, count(*) FILTER (pos < n) AS words, string_agg(word, ' ' ORDER BY pos) FILTER (pos < n) AS prompt FROM ({_POINTS}), ({_DICT}) GROUP BY n")
+def o03(spark: SparkSession, d: str) -> DataFrame:
+    words, n = ranked_once(spark, d)
+    rows = evaluate.bias_words(evaluate.schedule(spark, n, CAP, STEP), words)
+    return rows.select("n", F.size("words").cast("bigint").alias("words"), K.bias_prompt(c("words")).alias("prompt"))
+
+
+query("k07_prune_list", f"SELECT word AS value FROM ({_SQL['j11_prune']})")(lambda s, d: sinks.prune_lines(j11(s, d)))
+
+
+@query("st2_running_dictionary", "SELECT reference_surface AS word, count(*) AS count FROM candidates WHERE is_homophone GROUP BY 1")
+def st2(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary kept while outcomes arrive; every batch replaces what was saved before."""
+    rows = table(spark, d, "candidates").select("reference_surface", "is_homophone")
+    out = f"{shared_dir(spark)}/st2-{id(rows)}"
+    stream = _stream(spark, d, "candidates", rows)
+    q = streaming.catch_up(streaming.running_dictionary(stream), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/dictionary"), f"{out}/state", "complete")
+    q.awaitTermination()
+    return spark.read.schema("word string, count bigint").parquet(f"{out}/dictionary")
+
+
+def _stream(spark: SparkSession, d: str, name: str, like: DataFrame) -> DataFrame:
+    if _is_dir(spark, d, name):
+        return spark.readStream.schema(like.schema).parquet(f"{d}/{name}.parquet")
+    return spark.readStream.schema(like.schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)

@@ -42,8 +42,13 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def counts(spark: SparkSession, path: str) -> DataFrame:
     """(word, count) of tab-separated lines with exactly two fields."""
+    return two_fields(spark.read.text(path))
+
+
+def two_fields(rows: DataFrame) -> DataFrame:
+    """(word, count) of lines (value) with exactly two fields."""
     f = F.split(F.col("value"), "\t", -1)
-    return spark.read.text(path).where(F.size(f) == 2).select(f[0].alias("word"), f[1].try_cast("bigint").alias("count"))
+    return rows.where(F.size(f) == 2).select(f[0].alias("word"), f[1].try_cast("bigint").alias("count"))
 
 
 def numbered_lines(df: DataFrame, key: str, text: str) -> DataFrame:
