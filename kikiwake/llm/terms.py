@@ -32,6 +32,7 @@ class TermLedger:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path or new_path(spark, "terms"), buckets
         self.segments: dict[str, list[str]] = {"facts": [], "pairs": [], "terms": []}
+        self.written = 0
         self.schemas = {
             "facts": "fact_id string, record string, term string, amount bigint, version timestamp, deleted boolean, bucket int",
             "pairs": "term string, record string, d_facts bigint, bucket int",
@@ -45,7 +46,8 @@ class TermLedger:
         return self.spark.read.schema(self.schemas[name]).option("basePath", f"{self.path}/{name}").parquet(*self.segments[name]).drop("segment")
 
     def _append(self, name: str, df: DataFrame, key: list[str]) -> DataFrame:
-        out = f"{self.path}/{name}/segment={len(self.segments[name]):06d}"
+        self.written += 1
+        out = f"{self.path}/{name}/segment={self.written:06d}"
         df.withColumn("bucket", F.pmod(F.hash(*key), F.lit(self.buckets)).cast("int")).write.partitionBy("bucket").parquet(out)
         self.segments[name].append(out)
         return self.spark.read.schema(self.schemas[name]).parquet(out)
