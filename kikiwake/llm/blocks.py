@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .markup import Leaf, leaves
 
 LABELS = ("heading", "para", "item", "code", "formula", "drop")
-SAMPLE = 600
+SAMPLE, STRETCH = 600, 40
 _SPACE = re.compile(r"\s+")
 _DISPLAY = re.compile(r"^\s*(?:\$\$(?P<a>.+)\$\$|\\\[(?P<b>.+)\\\])\s*$", re.S)
 
@@ -151,7 +151,13 @@ def marginals(e: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
     """A field of at most ``sample`` of the pages (column ``body``), those with the least hashes."""
     rows = pages.where(F.col("body") != "").select("body").orderBy(F.xxhash64("body")).limit(sample).toLocalIterator()
-    return Field.train([[(features(x), LABELS.index(teacher(x))) for x in leaves(r["body"])] for r in rows])
+    return Field.train([x for r in rows for x in lessons(leaves(r["body"]))])
+
+
+def lessons(page: list[Leaf]) -> Iterator[list[tuple[tuple[str, ...], int]]]:
+    """A labelled page in stretches of at most STRETCH blocks, so that one endless page doesn't outweigh all others."""
+    for k in range(0, len(page), STRETCH):
+        yield [(features(x), LABELS.index(teacher(x))) for x in page[k : k + STRETCH]]
 
 
 def text_of(leaf: Leaf, label: str) -> str:
