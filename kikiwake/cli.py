@@ -84,7 +84,8 @@ def sweep(spark: SparkSession, words: DataFrame, refs: DataFrame, recognize: Cal
     n_refs = refs.count()
     if not n_refs:
         raise ValueError("no references")
-    cells = pts.withColumn("one", F.lit(1)).join(refs.withColumn("one", F.lit(1)), "one").drop("one")  # the schedule is a user's sweep
+    steps = F.array(*[F.lit(r["n"]) for r in pts.select("n").collect()])  # the points of a user's sweep
+    cells = refs.withColumn("n", F.explode(steps)).join(F.broadcast(pts), "n")
     heard = recognize(cells).where("hypothesis is not null")
     pairs = heard.select("n", "audio", tokenize(strip_punct(F.col("text"))).alias("reference"), tokenize(strip_punct(F.col("hypothesis"))).alias("hypothesis"))
     out = persisted(pipeline.process(pairs, opts=opts), "sweep")

@@ -41,9 +41,9 @@ def plateau(points: DataFrame, min_delta: float, patience: int, group: list[str]
 def final_n(points: DataFrame, recommended: DataFrame, group: list[str] | None = None) -> DataFrame:
     """The recommended n, else the last point's."""
     group = group or []
-    last = points.groupBy(*group).agg(F.max("n").alias("last_n"))
-    both = last.join(recommended, group) if group else last.withColumn("one", F.lit(1)).join(recommended.withColumn("one", F.lit(1)), "one").drop("one")
-    return both.select(*group, F.coalesce("recommended_n", "last_n", F.lit(0)).alias("final_n"))
+    last = points.select(*group, F.col("n").cast("int").alias("last_n"), F.lit(None).cast("int").alias("recommended_n"))
+    both = last.unionByName(recommended.select(*group, F.lit(None).cast("int").alias("last_n"), F.col("recommended_n").cast("int").alias("recommended_n")))
+    return both.groupBy(*group).agg(F.coalesce(F.max("recommended_n"), F.max("last_n"), F.lit(0)).alias("final_n"))
 
 
 def pruned(words: DataFrame, collided_first: DataFrame, collided_final: DataFrame, n: int) -> DataFrame:
