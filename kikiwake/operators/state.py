@@ -17,10 +17,11 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str, dedup: str | None = None)
 
 
 def first_in_run(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in the order of the run. The order is reduced by key first; the rows themselves aren't sorted."""
-    first = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("__first"))
-    at = F.struct(*order)
-    return rows.withColumn("__at", at).join(first, key).where(F.col("__at") == F.col("__first")).drop("__at", "__first")
+    """The first row of each key in the order of the run: the least row by (order, other columns), combined before the one shuffle,
+    so a hot key is a row per partition and the rows are worked out once."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    first = rows.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("__first"))
+    return first.select(key, "__first.*").select(*rows.columns)
 
 
 def absent(rows: DataFrame, log: DataFrame, key: str) -> DataFrame:
