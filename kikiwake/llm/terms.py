@@ -2,9 +2,9 @@
 
 Method: a ledger of three append-only logs in the shared folder, each partitioned by a hash of its key:
 ``facts`` (the newest version of every fact), ``pairs`` (signed number of facts by term and record) and ``terms`` (signed changes
-of occurrences and of records by term). A batch reads only the state of the facts and pairs it touches, turns into signed
-changes (-1 for what it replaces or deletes, +1 for what it brings), is summed up by (term, record) and then by term, and is
-appended. Counts are the sums over the log; ``compact`` folds the logs into one segment.
+of occurrences and of records by term). A batch reads both logs whole: the newest version of all facts is made before those it
+touches are joined, and no partition is pruned. It turns into signed changes (-1 for what it replaces or deletes, +1 for what it
+brings), is summed up by (term, record) and then by term, and is appended. Counts are the sums over the log; ``compact`` folds the logs into one segment.
 
 Edge cases: a null fact_id is a fact of its own that nothing replaces; of several versions of a fact the latest counts (ties: the
 greatest row); a null amount adds 0; a null or blank term counts nowhere, but its record is a record; a null record is none; an
