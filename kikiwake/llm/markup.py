@@ -184,6 +184,7 @@ def read_html(body: str) -> list[Leaf]:
 
 # ---------------------------------------------------------------- Markdown
 
+_FRONT = re.compile(r"^(?:[\w.-]+:(?:\s.*)?|\s*-(?:\s.*)?|\s+.*|\s*)$")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*([^`\n]*)$")
 _ITEM = re.compile(r"^(\s*)(?:[-*+]|\d{1,9}[.)])(?:\s+|$)(.*)$")
 _ATX = re.compile(r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -243,8 +244,11 @@ def read_md(body: str, base: str = "md", inline: Callable[[str], str] = md_inlin
         tag = "p"
 
     k, n, blank = 0, len(lines), True
-    if base == "md" and n > 2 and lines[0].strip() == "---" and any(x.strip() == "---" for x in lines[1:30]) and re.match(r"^\w+:", lines[1]):
-        k = next(j for j in range(1, 30) if lines[j].strip() == "---") + 1
+    if base == "md" and n > 2 and lines[0].strip() == "---" and re.match(r"^\w+:", lines[1]):
+        close = next((j for j in range(1, n) if lines[j].strip() == "---"), 0)
+        # what is longer must look like front matter throughout, as a rule further down may close nothing
+        if close and (close < 30 or all(_FRONT.match(x) for x in lines[1:close])):
+            k = close + 1
     while k < n:
         line = lines[k]
         bare = line.strip()

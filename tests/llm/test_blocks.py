@@ -74,3 +74,9 @@ def test_held_out(spark):
     for body in other:
         page = leaves(body)
         assert f.decode([B.features(x) for x in page]) == [B.teacher(x) for x in page]
+
+
+def test_long_front_matter():
+    front = "---\ntitle: x\ntags:\n" + "".join(f"  - t{k}\n" for k in range(40)) + "\n---\n"
+    assert leaves(front + MD) == leaves(MD)
+    assert len(leaves("---\nnote: x\n" + "本文だ\n\n" * 40 + "---\n" + MD)) > len(leaves(MD))
