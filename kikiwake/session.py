@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
-from functools import lru_cache, reduce
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Spark's own default limit for a broadcast side; used where the setting is switched off or unreadable.
 DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
@@ -93,9 +93,60 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     )
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
-def empty(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(ddl))
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    fs, p = _file(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, p = _file(spark, path)
+        fs.delete(p, True)
+
+
+def read_json(spark: SparkSession, path: str) -> object:
+    fs, p = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    """A whole file or none: written under another name, then renamed. An error if the name is taken."""
+    fs, p = _file(spark, path)
+    _, part = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(part)
+    try:
+        stream.write(bytearray(json.dumps(value).encode()))
+    finally:
+        stream.close()
+    if fs.exists(p) or not fs.rename(part, p):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
+class Manifest:
+    """Numbered states of a folder, each one small JSON file; the last one counts. Folders beside it that the last state doesn't
+    name are what killed writers left, and are removed when the folder is opened. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, first: dict):
+        self.spark, self.path = spark, path
+        known = [x for x in names_in(spark, f"{path}/manifest") if x.endswith(".json")]
+        self.version = int(known[-1][:-5]) if known else 0
+        self.state = read_json(spark, f"{path}/manifest/{known[-1]}") if known else first
+
+    def commit(self, state: dict) -> None:
+        write_json(self.spark, f"{self.path}/manifest/{self.version + 1:08d}.json", state)
+        self.version, self.state = self.version + 1, state
+
+    def sweep(self, named: set[str]) -> None:
+        """Remove the folders that aren't named."""
+        remove(self.spark, *[f"{self.path}/{x}" for x in names_in(self.spark, self.path) if x != "manifest" and x not in named])
