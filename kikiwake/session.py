@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark's own default limit for a broadcast side; used where the setting is switched off or unreadable.
@@ -150,3 +150,25 @@ class Manifest:
     def sweep(self, named: set[str]) -> None:
         """Remove the folders that aren't named."""
         remove(self.spark, *[f"{self.path}/{x}" for x in names_in(self.spark, self.path) if x != "manifest" and x not in named])
+
+
+def touched(column: str | list[str], n: int) -> Column:
+    """The hash bucket, of n, of the columns."""
+    return F.pmod(F.xxhash64(*([column] if isinstance(column, str) else column)), F.lit(n)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, column: str | list[str], rows: int, bucket_rows: int = 100_000, most: int = 4_096) -> dict:
+    """df, of about ``rows`` rows, as a table in hash buckets of its columns, and what ``read_bucketed`` must know of it."""
+    n = max(1, min(most, -(-rows // bucket_rows)))
+    keyed = df.withColumn("bucket", touched(column, n))
+    (keyed.coalesce(1) if n == 1 else keyed.repartition(n, "bucket")).write.partitionBy("bucket").parquet(path)
+    return {"path": path, "buckets": n, "rows": rows, "held": [int(x[7:]) for x in names_in(df.sparkSession, path) if x.startswith("bucket=")]}
+
+
+def read_bucketed(spark: SparkSession, segments: list[dict], schema: str, column: str | list[str] | None = None, wanted: DataFrame | None = None) -> DataFrame | None:
+    """Bucketed tables as one; with ``wanted``, only the buckets in which rows with its columns may lie. None if nothing is left."""
+    hit: dict[int, set[int]] = {}
+    for n in {s["buckets"] for s in segments}:  # a few numbers of buckets, and of each at most write_bucketed's ``most`` values
+        hit[n] = set(range(n)) if wanted is None or n == 1 else {r["b"] for r in wanted.select(touched(column, n).alias("b")).distinct().collect()}
+    paths = [f"{s['path']}/bucket={b}" for s in segments for b in sorted(hit[s["buckets"]] & set(s["held"]))]
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths) if paths else None
