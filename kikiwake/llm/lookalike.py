@@ -79,9 +79,16 @@ def _unstable(c: str) -> bool:
     return _map(c) != c or unicodedata.combining(c) != 0 or c in "゙゚" or 0x1160 <= ord(c) <= 0x11FF
 
 
+@lru_cache(maxsize=1)
+def _second() -> frozenset[str]:
+    """Characters that stand behind another in a canonical decomposition, vowel signs of class 0 among them."""
+    pairs = (unicodedata.decomposition(chr(o)).split() for o in range(0x30000))
+    return frozenset(chr(int(d[1], 16)) for d in pairs if len(d) == 2 and not d[0].startswith("<"))
+
+
 def _is_late(c: str) -> bool:
     """Quick check 'maybe': may compose with a character before it."""
-    return unicodedata.combining(c) != 0 or 0x1160 <= ord(c) <= 0x11FF or not unicodedata.is_normalized("NFC", "a" + c) and _map(c) == c
+    return unicodedata.combining(c) != 0 or 0x1160 <= ord(c) <= 0x11FF or c in _second()
 
 
 @lru_cache(maxsize=1)

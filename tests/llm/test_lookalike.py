@@ -37,3 +37,18 @@ def test_table(spark):
     assert [tuple(r) for r in got.collect()] == [("s", 1, "辞典")]
     assert L.lookalikes(values.where("false"), lex).count() == 0
     assert L.lookalikes(values, lex.where("false")).count() == 0
+
+
+def test_splicing_over_all_compositions():
+    """Every canonical decomposition, apart and in a row, whatever the combining class of its second character."""
+    import unicodedata
+
+    p = L.segment_pattern(L.unstable_ranges())
+    for o in range(0x30000):
+        c = chr(o)
+        if 0xD800 <= o < 0xE000 or not unicodedata.decomposition(c) or unicodedata.decomposition(c).startswith("<"):
+            continue
+        for s in (unicodedata.normalize("NFD", c), f"か{unicodedata.normalize('NFD', c)}x{c}"):
+            assert L.look_spliced(s, p) == L.look(s), hex(o)
+    for s in ("ো", "ொ", "ൊ", "ဦ", "ୋ", "ೊ", "ො"):
+        assert L.look_spliced(s, p) == L.look(s)
