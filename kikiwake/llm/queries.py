@@ -35,6 +35,18 @@ def p2_ledger(spark: SparkSession, sf_dir: str) -> tuple[terms.TermLedger, int]:
     return ledger, ledger.n_records(d.select("record").unionByName(m.select("record")))
 
 
+def p2_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts after a third batch that takes back every entry that came without a count."""
+    ledger, _ = p2_ledger(spark, sf_dir)
+    gone = table(spark, sf_dir, "danger").where("count is null and entry_id is not null").select("entry_id").distinct()
+    none = F.lit(None)
+    ledger.apply(gone.select(
+        F.concat(F.lit("e:"), F.col("entry_id").cast("string")).alias("fact_id"), none.cast("string").alias("record"), none.cast("string").alias("term"),
+        none.cast("bigint").alias("amount"), F.lit("9999-01-01").cast("timestamp").alias("version"), F.lit(True).alias("deleted"),
+    ))
+    return ledger.counts()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, n = p2_ledger(spark, sf_dir)
     return terms.marks(ledger.counts(), n)
@@ -101,7 +113,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_withdrawn": p2_withdrawn, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -118,5 +130,6 @@ c AS (SELECT word, CAST(coalesce(sum(count), 0) AS BIGINT) AS occurrences, count
 def oracle() -> dict[str, str]:
     return {
         "p2_found": _P2 + "SELECT word, 'rare' AS mark FROM c WHERE occurrences < 5 UNION ALL SELECT word, 'common' FROM c, n WHERE records > n.n / 10.0",
+        "p2_withdrawn": _P2.replace("UNION ALL SELECT 'd:'", "WHERE entry_id IS NULL OR entry_id NOT IN (SELECT entry_id FROM danger WHERE count IS NULL AND entry_id IS NOT NULL) UNION ALL SELECT 'd:'") + "SELECT word AS term, occurrences, records FROM c",
         "p2_counts": _P2 + "SELECT word AS term, occurrences, records FROM c",
     }

@@ -1,25 +1,39 @@
 """Problem 2: how often, and in how many records, every term occurs - kept up to date by signed deltas.
 
-Method: a ledger of three append-only logs in the shared folder, each partitioned by a hash of its key:
-``facts`` (the newest version of every fact), ``pairs`` (signed number of facts by term and record) and ``terms`` (signed changes
-of occurrences and of records by term). A batch reads both logs whole: the newest version of all facts is made before those it
-touches are joined, and no partition is pruned. It turns into signed changes (-1 for what it replaces or deletes, +1 for what it
-brings), is summed up by (term, record) and then by term, and is appended. Counts are the sums over the log; ``compact`` folds the logs into one segment.
-
-Edge cases: a null fact_id is a fact of its own that nothing replaces; of several versions of a fact the latest counts (ties: the
-greatest row); a null amount adds 0; a null or blank term counts nowhere, but its record is a record; a null record is none; an
-empty batch changes nothing; extra columns are ignored.
+Method: a ledger of three logs in the shared folder, each in hash buckets of its key: ``facts`` (versions of every fact), ``pairs``
+(signed number of facts by term and record) and ``terms`` (signed changes of occurrences and of records by term). A batch is reduced to
+the newest version of each fact in it; of the logs it reads the buckets its facts, and then its pairs, fall into, and of those only the
+rows of these very facts and pairs. It turns into signed changes (-1 for what it replaces or deletes, +1 for what it brings), is summed
+up by (term, record) and then by term, and is appended as one segment a log. Counts are sums over the log of terms. ``FAN_OUT`` segments of
+one level are folded into one of the next, so a log of n batches has about log n segments.
+
+The folder holds everything: a manifest names the segments that count, so a ledger can be opened again, by another session too; what a
+killed batch left is removed then.
+
+Edge cases: a null fact_id is a fact of its own that nothing replaces; of several versions of a fact the greatest (version, amount,
+record, term, deleted) counts, in whatever batches they come, nulls being least; a null amount adds 0; a null or blank term counts
+nowhere, but its record is a record; a null record is none; an empty batch changes nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_path
+from ..session import Manifest, new_path, read_bucketed, remove, write_bucketed
 
+VERSION = "version timestamp, amount bigint, record string, term string, deleted boolean"
 FACT = "fact_id string, record string, term string, amount bigint, version timestamp, deleted boolean"
-BUCKETS = 16
+SCHEMAS = {
+    "facts": f"fact_id string, n struct<{', '.join(':'.join(c.split()) for c in VERSION.split(', '))}>",
+    "pairs": "term string, record string, d_facts bigint",
+    "terms": "term string, d_occurrences bigint, d_records bigint, d_facts bigint",
+}
+KEYS = {"facts": ["fact_id"], "pairs": ["term", "record"], "terms": ["term"]}
+BUCKET_ROWS, FAN_OUT = 100_000, 4
 
 
 def trimmed(c: Column) -> Column:
@@ -29,80 +43,100 @@ def trimmed(c: Column) -> Column:
 
 
 class TermLedger:
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path or new_path(spark, "terms"), buckets
-        self.segments: dict[str, list[str]] = {"facts": [], "pairs": [], "terms": []}
-        self.written = 0
-        self.schemas = {
-            "facts": "fact_id string, record string, term string, amount bigint, version timestamp, deleted boolean, bucket int",
-            "pairs": "term string, record string, d_facts bigint, bucket int",
-            "terms": "term string, d_occurrences bigint, d_records bigint, d_facts bigint, bucket int",
-        }
-
-    def _log(self, name: str) -> DataFrame:
-        if not self.segments[name]:
-            return self.spark.createDataFrame([], self.schemas[name])
-        # a reader sees the segments that were named when it was built
-        return self.spark.read.schema(self.schemas[name]).option("basePath", f"{self.path}/{name}").parquet(*self.segments[name]).drop("segment")
-
-    def _append(self, name: str, df: DataFrame, key: list[str]) -> DataFrame:
-        self.written += 1
-        out = f"{self.path}/{name}/segment={self.written:06d}"
-        df.withColumn("bucket", F.pmod(F.hash(*key), F.lit(self.buckets)).cast("int")).write.partitionBy("bucket").parquet(out)
-        self.segments[name].append(out)
-        return self.spark.read.schema(self.schemas[name]).parquet(out)
+    def __init__(self, spark: SparkSession, path: str | None = None, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.bucket_rows = spark, path or new_path(spark, "terms"), bucket_rows
+        self.manifest = Manifest(spark, self.path, {"facts": [], "pairs": [], "terms": [], "folders": []})
+        self.manifest.sweep(set(self.manifest.state["folders"]))
+
+    def segments(self, name: str) -> list[dict]:
+        return self.manifest.state[name]
+
+    def _log(self, name: str, column: list[str] | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        df = read_bucketed(self.spark, self.segments(name), SCHEMAS[name], column, wanted)
+        return self.spark.createDataFrame([], SCHEMAS[name]) if df is None else df
+
+    def _work(self, df: DataFrame, path: str) -> tuple[DataFrame, int]:
+        watch = Observation()
+        df.observe(watch, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), watch.get.get("n") or 0
 
     def apply(self, batch: DataFrame) -> DataFrame:
         """Take in a batch of facts(fact_id, record, term, amount, version, deleted); the signed changes by term that it made."""
-        f = batch.select("fact_id", "record", trimmed(F.col("term")).alias("term"), F.coalesce("amount", F.lit(0)).cast("bigint").alias("amount"), "version", F.coalesce("deleted", F.lit(False)).alias("deleted"))
-        newest = F.max(F.struct("version", "amount", "record", "term", "deleted")).alias("n")
-        named = f.where(F.col("fact_id").isNotNull()).groupBy("fact_id").agg(newest).select("fact_id", "n.*")
-        nameless = f.where(F.col("fact_id").isNull())
-        if self.segments["facts"]:
-            state = self._log("facts").groupBy("fact_id").agg(newest).select("fact_id", F.col("n").alias("o"))
-            both = named.join(state, "fact_id", "left")
-            wins = F.col("o").isNull() | F.coalesce(F.col("version") > F.col("o.version"), F.col("version").isNotNull())
-            both = both.where(wins)
-            old = both.where("o is not null and not o.deleted").select(F.col("o.term").alias("term"), F.col("o.record").alias("record"), (-F.col("o.amount")).alias("d_amount"), F.lit(-1).cast("bigint").alias("d_facts"))
-            new = both.drop("o")
+        state = json.loads(json.dumps(self.manifest.state))
+        folder = f"s{self.manifest.version + 1:08d}-{uuid.uuid4().hex[:8]}"
+        path, work = f"{self.path}/{folder}", f"{self.path}/{folder}/work"
+        n = F.struct("version", F.coalesce("amount", F.lit(0)).cast("bigint").alias("amount"), "record", trimmed(F.col("term")).alias("term"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+        f = batch.select("fact_id", n.alias("n"))
+        named = f.where("fact_id is not null").groupBy("fact_id").agg(F.max("n").alias("n"))
+        if self.segments("facts"):
+            named, _ = self._work(named, f"{work}/named")
+            before = self._log("facts", ["fact_id"], named).join(named.select("fact_id"), "fact_id", "left_semi").groupBy("fact_id").agg(F.max("n").alias("o"))
+            named = named.join(before, "fact_id", "left").where("o is null or n > o")
         else:
-            old, new = None, named
-        new = self._append("facts", new.unionByName(nameless).select("fact_id", "record", "term", "amount", "version", "deleted"), ["fact_id"])
-        delta = new.where(~F.col("deleted")).select("term", "record", F.col("amount").alias("d_amount"), F.lit(1).cast("bigint").alias("d_facts"))
-        if old is not None:
-            delta = delta.unionByName(old)
-        delta = delta.where("term is not null").groupBy("term", "record").agg(F.sum("d_amount").alias("d_amount"), F.sum("d_facts").alias("d_facts"))
-        if self.segments["pairs"]:
-            touched = delta.where("d_facts <> 0 and record is not null").select("term", "record")
-            before = self._log("pairs").join(touched, ["term", "record"], "left_semi").groupBy("term", "record").agg(F.sum("d_facts").alias("n_before"))
-            delta = delta.join(before, ["term", "record"], "left")
+            named = named.withColumn("o", F.lit(None).cast(named.schema["n"].dataType))
+        nameless = f.where("fact_id is null").withColumn("o", F.lit(None).cast(f.schema["n"].dataType))
+        changed, rows = self._work(named.unionByName(nameless), f"{work}/changed")
+        sides = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("n").alias("v")), F.struct(F.lit(-1).alias("sign"), F.col("o").alias("v"))))
+        signed = changed.select(sides.alias("x")).where("x.v is not null and not x.v.deleted and x.v.term is not null")
+        delta = signed.groupBy(F.col("x.v.term").alias("term"), F.col("x.v.record").alias("record")).agg(F.sum(F.col("x.sign") * F.col("x.v.amount")).alias("d_amount"), F.sum("x.sign").alias("d_facts"))
+        delta, pairs = self._work(delta, f"{work}/delta")
+        moved = delta.where("d_facts <> 0 and record is not null").select("term", "record", "d_facts")
+        if self.segments("pairs"):
+            before = self._log("pairs", ["term", "record"], moved).join(moved.select("term", "record"), ["term", "record"], "left_semi")
+            delta = delta.join(before.groupBy("term", "record").agg(F.sum("d_facts").alias("n_before")), ["term", "record"], "left")
         else:
             delta = delta.withColumn("n_before", F.lit(0).cast("bigint"))
         n0 = F.coalesce("n_before", F.lit(0))
         step = F.when(F.col("record").isNull(), 0).otherwise((n0 + F.col("d_facts") > 0).cast("int") - (n0 > 0).cast("int"))
-        by_term = delta.groupBy("term").agg(F.sum("d_amount").alias("d_occurrences"), F.sum(step).alias("d_records"), F.sum("d_facts").alias("d_facts"))
-        changes = self._append("terms", by_term, ["term"])
-        self._append("pairs", delta.where("d_facts <> 0 and record is not null").select("term", "record", "d_facts"), ["term"])
-        return changes.drop("bucket")
+        by_term = delta.groupBy("term").agg(F.sum("d_amount").alias("d_occurrences"), F.sum(step).cast("bigint").alias("d_records"), F.sum("d_facts").alias("d_facts"))
+        by_term, terms = self._work(by_term, f"{path}/changes")
+        for name, df, size in (("facts", changed.select("fact_id", "n"), rows), ("pairs", moved, pairs), ("terms", by_term, terms)):
+            if size:
+                state[name].append({"level": 0, **write_bucketed(df, f"{path}/{name}", KEYS[name], size, self.bucket_rows)})
+        self._fold(state, path)
+        self._finish(state, folder, work)
+        return by_term
 
     def counts(self) -> DataFrame:
         """(term, occurrences, records) of every term that some fact holds now."""
         sums = self._log("terms").groupBy("term").agg(F.sum("d_occurrences").alias("occurrences"), F.sum("d_records").alias("records"), F.sum("d_facts").alias("facts"))
         return sums.where("facts > 0").drop("facts")
 
+    def _folded(self, name: str, segments: list[dict]) -> DataFrame:
+        """One row a key; sums that came to nothing are left out."""
+        df = read_bucketed(self.spark, segments, SCHEMAS[name])
+        if name == "facts":
+            return df.where("fact_id is not null").groupBy("fact_id").agg(F.max("n").alias("n"))
+        sums = df.groupBy(*KEYS[name]).agg(*[F.sum(c).alias(c) for c in df.columns if c.startswith("d_")])
+        return sums.where(" or ".join(f"{c} <> 0" for c in df.columns if c.startswith("d_")))
+
+    def _fold(self, state: dict, path: str, every: bool = False) -> None:
+        for name in SCHEMAS:
+            level = 0
+            while every or any(s["level"] >= level for s in state[name]):
+                same = [s for s in state[name] if every or s["level"] == level]
+                if every or len(same) >= FAN_OUT:
+                    if len(same) > 1:
+                        df, n = self._work(self._folded(name, same), f"{path}/work/{name}{level + 1}")
+                        state[name] = [s for s in state[name] if s not in same]
+                        if n:
+                            state[name].append({"level": level + 1, **write_bucketed(df, f"{path}/{name}{level + 1}", KEYS[name], n, self.bucket_rows)})
+                    if every:
+                        break
+                level += 1
+
     def compact(self) -> None:
         """Fold each log into one segment; sums and newest versions stay what they are."""
-        folded = {
-            "facts": self._log("facts").where("fact_id is not null").groupBy("fact_id").agg(F.max(F.struct("version", "amount", "record", "term", "deleted")).alias("n")).select("fact_id", "n.*"),
-            "pairs": self._log("pairs").groupBy("term", "record").agg(F.sum("d_facts").alias("d_facts")).where("d_facts <> 0"),
-            "terms": self._log("terms").groupBy("term").agg(F.sum("d_occurrences").alias("d_occurrences"), F.sum("d_records").alias("d_records"), F.sum("d_facts").alias("d_facts")),
-        }
-        keys = {"facts": ["fact_id"], "pairs": ["term"], "terms": ["term"]}
-        for name, df in folded.items():
-            if self.segments[name]:
-                cols = [c.split()[0] for c in self.schemas[name].split(", ") if not c.startswith("bucket")]
-                self._append(name, df.select(*cols), keys[name])
-                self.segments[name] = self.segments[name][-1:]
+        state = json.loads(json.dumps(self.manifest.state))
+        folder = f"s{self.manifest.version + 1:08d}-{uuid.uuid4().hex[:8]}"
+        self._fold(state, f"{self.path}/{folder}", every=True)
+        self._finish(state, folder, f"{self.path}/{folder}/work")
+
+    def _finish(self, state: dict, folder: str, work: str) -> None:
+        paths = {name: {s["path"] for s in self.segments(name)} - {s["path"] for s in state[name]} for name in SCHEMAS}
+        state["folders"].append(folder)
+        self.manifest.commit(state)
+        remove(self.spark, work, *[p for x in paths.values() for p in x])
 
     def n_records(self, records: DataFrame) -> int:
         """Number of distinct non-null values of records.record; grouped before it is counted, nothing is collected."""
