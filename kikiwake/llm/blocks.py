@@ -1,9 +1,13 @@
 """Problem 5: clean text with its structure out of HTML, Markdown, wiki and LaTeX, whatever is declared.
 
-Method: a linear-chain conditional random field over the leaf blocks of a document. A block's features are its ancestor tags and
-properties of its text; its label is one of ``LABELS``, ``drop`` standing for residue (navigation, scripts, styles, preambles).
-The field is trained where it is used, by gradient ascent on the likelihood, on at most ``SAMPLE`` pages (the documented bound; the
-pages with the least hashes), labelled by ``teacher``; every document is then decoded by Viterbi.
+Method: a linear-chain conditional random field over the leaf blocks of a document. A block's features are its ancestor tags,
+properties of its text and of its neighbours' texts; its label is one of ``LABELS``, ``drop`` standing for residue (navigation,
+scripts, styles, preambles, comments, templates, floats). The field is trained where it is used, by gradient ascent on the likelihood,
+on at most ``SAMPLE`` pages (the documented bound; the pages with the least hashes); every document is then decoded by Viterbi.
+
+Labels come from the tags of well-marked pages (``teacher``), but each page is learnt twice, as it is and with its tags taken off, so
+that the field knows what headings, entries, code, formulas and residue look like in themselves. Where tags say what a block is they
+decide; where they say nothing (``NEUTRAL`` containers, or none at all) the text and the chain do, which ``teacher`` can't.
 
 Edge cases: null, empty and blank bodies have no blocks; bodies without any markup are paragraphs; unclosed tags end with what
 encloses them; very long bodies are read whole; an empty table trains nothing and gives no rows; repeated rows and equal blocks of
@@ -32,7 +36,54 @@ def squeezed(s: str) -> str:
     return _SPACE.sub("", s)
 
 
+NEUTRAL = {"div", "span", "section", "article", "main", "body", "figure", "form", "address", "html", "?"}
+_BULLET = re.compile(r"^\s*(?:[-*•・●○◦▪‣]|[(（]?\d{1,3}[.)）、:]|[A-Za-z][.)])\s*\S")
+_CODE = re.compile(r"\b(?:def|return|import|from|function|var|let|const|class|for|while|print|echo|sudo|select|fn|pub|end|null|true|false)\b|[=!<>+-]=|=>|->|\w\(|;\s*$|^\s*[#$>]\s", re.I | re.M)
+_MATHS = re.compile(r"\\[A-Za-z]+|[\^_]\{|[\w)}][\^_]\w|[∑∫√≤≥≠±×÷]")
+_STYLE = re.compile(r"[\w.#-]+\s*\{[^{}]*:[^{}]*\}|\b(?:window|document|dataLayer|gtag)\b|<!--|^\s*[\w.-]+:\s|\{\{|\\(?:documentclass|usepackage|begin|includegraphics|bibitem)")
+
+
+def looks(leaf: Leaf) -> dict[str, str]:
+    """What a block looks like, whatever its tags."""
+    t = leaf.raw.strip("\n")
+    n = max(1, len(t))
+    lines = t.count("\n") + 1
+    signs = sum(c in "{}();=<>[]_/\\|&$#\"'" for c in t) / n
+    return {
+        "size": str(min(len(leaf.text.strip()).bit_length(), 10)),
+        "lines": "1" if lines == 1 else "2-4" if lines < 5 else "5-",
+        "signs": str(sum(signs > x for x in (0.01, 0.04, 0.08, 0.15, 0.3))),
+        "code": str(min(len(_CODE.findall(t)), 4)),
+        "maths": str(min(len(_MATHS.findall(t)), 4)),
+        "style": str(min(len(_STYLE.findall(t)), 3)),
+        "bullet": str(bool(_BULLET.match(t))),
+        "deep": str(bool(re.search(r"(?m)^(?: {2,}|\t)\S", t))),
+        "mark": str(leaf.text.strip()[-1:] in ".!?。！？．।"),
+        "stops": str(min(len(re.findall(r"[.!?。！？।](?:\s|$)|[。！？]", t)), 3)),
+        "words": str(min(t.count(" "), 12)),
+    }
+
+
+def bare_features(before: dict[str, str], own: dict[str, str], after: dict[str, str]) -> tuple[str, ...]:
+    """Features of a block whose tags say nothing: its looks and those of its neighbours."""
+    one = [f"?{k}={v}" for k, v in own.items()]
+    two = [f"?{a}={own[a]}&{b}={own[b]}" for a, b in (("size", "mark"), ("code", "signs"), ("maths", "code"), ("lines", "signs"), ("bullet", "size"), ("stops", "size"), ("style", "signs"), ("maths", "size"))]
+    near = [f"?{side}{k}={x.get(k)}" for side, x in (("<", before), (">", after)) for k in ("size", "mark", "bullet")]
+    return ("?bias", *one, *two, *near, f"?size={own['size']}>{after.get('size')}", f"?bullet={before.get('bullet')}{own['bullet']}{after.get('bullet')}")
+
+
+def neutral(leaf: Leaf) -> bool:
+    return all(t in NEUTRAL for t in leaf.path.split("/"))
+
+
+def page_features(page: list[Leaf], bare: bool = False) -> list[tuple[str, ...]]:
+    """Features of the blocks of a page; with ``bare``, as if it had no tags."""
+    seen = [looks(x) if bare or any(map(neutral, page[max(0, k - 1) : k + 2])) else {} for k, x in enumerate(page)]
+    return [bare_features(seen[k - 1] if k else {}, seen[k], seen[k + 1] if k + 1 < len(page) else {}) if bare or neutral(x) else features(x) for k, x in enumerate(page)]
+
+
 def features(leaf: Leaf) -> tuple[str, ...]:
+    """Features of a block whose tags say something."""
     tags = [re.sub(r"^h[1-6]$", "h", t) for t in leaf.path.split("/")]
     text = leaf.text.strip()
     n = len(text)
@@ -57,7 +108,7 @@ def teacher(leaf: Leaf) -> str:
     """The label of a block of a training page."""
     tags = leaf.path.split("/")
     last = tags[-1]
-    if any("nav" in t for t in tags) or last in ("script", "style", "preamble", "definition", "table", "head", "title", "textarea", "template", "noscript") or any(t in ("head", "footer", "aside") for t in tags):
+    if any("nav" in t for t in tags) or last in ("script", "style", "preamble", "definition", "table", "head", "title", "textarea", "template", "noscript", "comment", "front", "float") or any(t in ("head", "footer", "aside") for t in tags):
         return "drop"
     if "math" in last or last == "display" or _DISPLAY.match(leaf.text):
         return "formula"
@@ -95,17 +146,19 @@ class Field:
         n = len(LABELS)
         w, m = np.zeros((len(names), n)), np.zeros((n, n))
         gw, gm = np.full_like(w, 1e-6), np.full_like(m, 1e-6)
-        coded = [([np.array([index[f] for f in fs]) for fs, _ in p], np.array([y for _, y in p])) for p in pages if p]
+        coded = []
+        for p in filter(None, pages):
+            rows = [[index[f] for f in fs] for fs, _ in p]
+            width = np.array([len(r) for r in rows])
+            coded.append((np.concatenate(rows), np.repeat(np.arange(len(rows)), width), np.cumsum(width) - width, np.array([y for _, y in p])))
         for epoch in range(epochs):
             for k in np.random.default_rng(epoch).permutation(len(coded)):
-                rows, y = coded[k]
-                e = np.stack([w[r].sum(0) for r in rows])
-                one, two = marginals(e, m)
+                flat, owner, starts, y = coded[k]
+                one, two = marginals(np.add.reduceat(w[flat], starts), m)
                 one[np.arange(len(y)), y] -= 1
-                for r, g in zip(rows, one):
-                    g = g + ridge * w[r]
-                    gw[r] += g * g
-                    w[r] -= rate * g / np.sqrt(gw[r])
+                g = one[owner] + ridge * w[flat]
+                np.add.at(gw, flat, g * g)
+                np.subtract.at(w, flat, rate * g / np.sqrt(gw[flat]))
                 for a, b in zip(y, y[1:]):
                     two[a, b] -= 1
                 two += ridge * m
@@ -155,9 +208,13 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
 
 
 def lessons(page: list[Leaf]) -> Iterator[list[tuple[tuple[str, ...], int]]]:
-    """A labelled page in stretches of at most STRETCH blocks, so that one endless page doesn't outweigh all others."""
-    for k in range(0, len(page), STRETCH):
-        yield [(features(x), LABELS.index(teacher(x))) for x in page[k : k + STRETCH]]
+    """A labelled page, as it is and without its tags, in stretches of at most STRETCH blocks, so that one endless page doesn't
+    outweigh all others."""
+    labels = [LABELS.index(teacher(x)) for x in page]
+    for bare in (False, True):
+        rows = [(f, y) for f, y, x in zip(page_features(page, bare), labels, page) if bare or not neutral(x)]
+        for k in range(0, len(rows), STRETCH):
+            yield rows[k : k + STRETCH]
 
 
 def text_of(leaf: Leaf, label: str) -> str:
@@ -179,7 +236,7 @@ def blocks(pages: DataFrame, key: str, field: Field | None = None) -> DataFrame:
             rows = []
             for k, body in zip(pdf[key], pdf["body"]):
                 page = leaves(body)
-                for leaf, y in zip(page, own.decode([features(x) for x in page])):
+                for leaf, y in zip(page, own.decode(page_features(page))):
                     if y != "drop" and (t := text_of(leaf, y)):
                         rows.append((k, y, t))
             yield pd.DataFrame(list(dict.fromkeys(rows)), columns=[key, "block_kind", "block_text"])

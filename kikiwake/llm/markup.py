@@ -112,6 +112,8 @@ def read_html(body: str) -> list[Leaf]:
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            if not skip and m[0].startswith("<!--") and not "".join(buf).strip():
+                out.append(Leaf("/".join(["html", *stack, "comment"]), m[0], m[0]))
             continue
         end, attrs = m[1] == "/", m[3] or ""
         if skip:
@@ -249,6 +251,7 @@ def read_md(body: str, base: str = "md", inline: Callable[[str], str] = md_inlin
         # what is longer must look like front matter throughout, as a rule further down may close nothing
         if close and (close < 30 or all(_FRONT.match(x) for x in lines[1:close])):
             k = close + 1
+            out.append(Leaf("md/front", "\n".join(lines[1:close]), "\n".join(lines[1:close])))
     while k < n:
         line = lines[k]
         bare = line.strip()
@@ -360,6 +363,8 @@ def read_wiki(body: str) -> list[Leaf]:
     s = re.sub(r"<ref(?:\s[^>]*)?/>|<ref(?:\s[^>]*)?>.*?</ref>", "", s, flags=re.S | re.I)
     s = re.sub(r"<code(?:\s[^>]*)?>(.*?)</code>", lambda m: held.keep(html.unescape(m[1])), s, flags=re.S | re.I)
     s = re.sub(r"<math\s[^>]*display\s*=\s*[\"']?block[^>]*>(.*?)</math>", lambda m: block("math[block]", html.unescape(m[1])), s, flags=re.S | re.I)
+    s = re.sub(r"(?m)^\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\}[ \t]*$", lambda m: block("template", m[0]), s)
+    s = re.sub(r"(?ms)^\{\|.*?^\|\}", lambda m: block("table", m[0]), s)
     s = _no_templates(s)
     out: list[Leaf] = []
     buf: list[str] = []
@@ -466,7 +471,7 @@ def read_tex(body: str) -> list[Leaf]:
     s = re.sub(r"(?<!\\)\\\[(.*?)\\\]|\$\$(.*?)\$\$", lambda m: block("math", m[1] if m[1] is not None else m[2]), s, flags=re.S)
     s = re.sub(r"\\(?:documentclass|usepackage|newcommand|renewcommand|title|author|date|bibliographystyle|bibliography|pagestyle)\*?(?:\[[^\]]*\])?(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})+", "", s)
     s = re.sub(r"\\(?:maketitle|tableofcontents|newpage|clearpage|noindent|centering|par)(?![A-Za-z])", "\n\n", s)
-    s = re.sub(r"\\begin\{(?:figure|table|tabular|thebibliography|tikzpicture)\*?\}.*?\\end\{(?:figure|table|tabular|thebibliography|tikzpicture)\*?\}", "\n\n", s, flags=re.S)
+    s = re.sub(r"\\begin\{(?:figure|table|tabular|thebibliography|tikzpicture)\*?\}.*?\\end\{(?:figure|table|tabular|thebibliography|tikzpicture)\*?\}", lambda m: block("float", m[0]), s, flags=re.S)
     s = _replace_command(s, "(?:part|chapter|(?:sub)*section|paragraph|subparagraph)", lambda a: block("h", a[0] if a else ""))
     env: list[str] = []
     item = False
