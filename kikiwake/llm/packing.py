@@ -1,9 +1,12 @@
 """Problem 6: items into containers of a fixed capacity.
 
-Method: mixture-controlled packing. Items wait in one queue per source. Each container (window) adds ``share x capacity`` to the
-deficit of every source; the source with the greatest deficit that has an item fitting into what is left gives its largest such
-item and pays its size; the container closes when nothing fits. Deficits go on from window to window, and from partition to
-partition: a partition starts with what the ones before it owe, summed up from one row per (partition, source).
+Method: mixture-controlled packing by deficit round-robin. Items wait in one queue per source. In each container (window) the queues
+are visited in turn, beginning where the window before left off: a visit adds the quantum, ``share x capacity``, to the queue's
+deficit, and the queue gives its largest items that fit into the window as long as its deficit pays for them. What room is left then is
+lent: the queue with the greatest deficit that has a fitting item gives its largest one, so that windows are full; it pays with
+the quanta to come, since a queue below zero gives nothing in its turn. Deficits go on from window to window, and from partition to
+partition: whatever the windows of the partitions before do, they leave a queue its share of all tokens there less its own tokens
+there, up to the room left unused; that sum, from one row per (partition, source), is where a partition starts.
 
 Items are spread over lanes by hash, so neither a source nor a key can fill one task: a lane holds about ``lane_tokens`` tokens and
 at most ``lane_items`` items on average, at any size of the collection. Items above the capacity are cut into full pieces and one
@@ -16,6 +19,7 @@ packed as often as they come; an empty table gives an empty result; ties go by (
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -40,36 +44,45 @@ def fill(sizes: list[int], sources: list[int], shares: np.ndarray, owed: np.ndar
     """Container number and offset of every item of one lane, and the deficits left over.
 
     Per source the items stand in buckets by size; a table of the largest occupied size up to any bound makes each step cheap."""
-    from bisect import bisect_right
-
     n = len(sizes)
     container, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
     stacks: list[dict[int, list[int]]] = [{} for _ in shares]
     for i in range(n - 1, -1, -1):
         stacks[sources[i]].setdefault(sizes[i], []).append(i)
     ladder = [sorted(s) for s in stacks]
-    deficit, left, k = owed.astype(float).copy(), n, 0
+    quantum, deficit, left, k, turn = (shares * capacity).tolist(), owed.astype(float).tolist(), n, 0, 0
+
+    def give(s: int, most: float) -> int:
+        """The largest item of queue s of at most that size goes into the window; its size, -1 if there is none."""
+        nonlocal room, left
+        at = bisect_right(ladder[s], most) - 1
+        if at < 0:
+            return -1
+        size = ladder[s][at]
+        i = stacks[s][size].pop()
+        if not stacks[s][size]:
+            del stacks[s][size], ladder[s][at]
+        container[i], offset[i] = k, capacity - room
+        room -= size
+        deficit[s] -= size
+        left -= 1
+        return size
+
     while left:
         room = capacity
-        deficit += shares * capacity
+        for j in range(len(ladder)):
+            s = (turn + j) % len(ladder)
+            deficit[s] += quantum[s]
+            while ladder[s] and deficit[s] >= 0 and give(s, min(room, deficit[s])) >= 0:
+                pass
+        turn = (turn + 1) % len(ladder)
         while left:
-            best, at = -1, 0
-            for s, sz in enumerate(ladder):
-                if sz and sz[0] <= room and (best < 0 or deficit[s] > deficit[best]):
-                    best = s
-            if best < 0:
+            s = max((s for s, sz in enumerate(ladder) if sz and sz[0] <= room), key=deficit.__getitem__, default=-1)
+            if s < 0:
                 break
-            sz = ladder[best]
-            at = bisect_right(sz, room) - 1
-            size = sz[at]
-            i = stacks[best][size].pop()
-            if not stacks[best][size]:
-                del stacks[best][size], sz[at]
-            container[i], offset[i] = k, capacity - room
-            room -= size
-            deficit[best] -= size
-            left -= 1
+            give(s, room)
         k += 1
+    deficit = np.array(deficit)
     return container, offset, deficit
 
 
@@ -114,7 +127,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, targets: DataFrame | None =
     item_type = items.schema["item_id"].dataType.simpleString()
     schema = f"container string, item_id {item_type}, source string, piece int, start bigint, size int, offset bigint"
     packed = laned.withColumn("h", h).groupBy("lane").cogroup(plan.groupBy("plan_lane")).applyInPandas(one, schema)
-    alone = full.select(F.concat_ws("-", F.lit("full"), F.col("item_id").cast("string"), F.col("piece").cast("string"), F.monotonically_increasing_id().cast("string")).alias("container"), "item_id", "source", "piece", "start", "size", F.lit(0).cast("bigint").alias("offset"))
+    # repeated rows are told apart by their number, not by where a task ran
+    copies = full.groupBy("item_id", "source", "piece", "start", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    name = F.concat_ws("-", F.lit("full"), F.col("item_id").cast("string"), F.coalesce("source", F.lit("")), F.col("piece").cast("string"), F.col("copy").cast("string"))
+    alone = copies.select(name.alias("container"), "item_id", "source", "piece", "start", "size", F.lit(0).cast("bigint").alias("offset"))
     return packed.unionByName(alone)
 
 
