@@ -17,15 +17,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persisted, running_total
+from ..session import broadcast_if_small, persisted, running_total
 
 GOLDEN = 0.6180339887498949
 BLOCK_TOKENS = 2_048
 BUCKET_ROWS = 50_000
-MAX_SOURCES = 10_000
 
 
 def quotas(have: dict[str, int], weights: dict[str, float], repeats: dict[str, int], total: int | None = None, min_fraction: float = 0.02) -> dict[str, float]:
@@ -55,10 +56,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block_to
     position) in which ``slot`` orders blocks and ``position`` the uses of a source, and the report by source."""
     spark = sizes.sparkSession
     t = targets.where("source is not null and weight > 0 and max_repeats > 0").groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    rows = t.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources in the targets")
-    listed = F.broadcast(t)
+    rows = t.collect()  # one row per listed source, as everything below that reaches the driver
+    listed = broadcast_if_small(t)
     docs = persisted(sizes.where("size > 0").join(listed.select("source"), "source", "left_semi").select("doc_id", "source", "size").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-docs")
     stats = {r["source"]: (r["n"], r["rows"]) for r in docs.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
     have = {s: n for s, (n, _) in stats.items()}
@@ -67,7 +66,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block_to
 
     plan = [(s, float(have.get(s, 0)), int(min(repeats[s], quota[s] // have[s])) if have.get(s) else 0) for s in weights]
     plan = [(s, int(n), k, float(quota[s] - k * n) if k < repeats[s] else 0.0) for s, n, k in plan]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, tokens bigint, whole int, rest double"))  # a row per listed source, at most MAX_SOURCES
+    plan_df = broadcast_if_small(spark.createDataFrame(plan, "source string, tokens bigint, whole int, rest double"))
 
     buckets = max(1, math.ceil(sum(r for _, r in stats.values()) / BUCKET_ROWS))
     spread = docs.withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + F.lit(0.5)) * buckets).cast("int"))
@@ -79,8 +78,15 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block_to
 
     last = {r["source"]: r["n"] for r in placed.groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}
     n_slots = sum(last.values())
-    slots = schedule(spark, {s: last[s] for s in sorted(last)}, n_slots)
-    mixed = placed.join(slots, ["source", "block"], "left").withColumn("slot", F.coalesce("slot", F.lit(n_slots) + F.col("block")))
+    slots = persisted(schedule(spark, {s: last[s] for s in sorted(last)}, n_slots), "mix-slots")
+    # blocks that found no slot (a source's slots may lack a few) are numbered behind the schedule, source by source
+    given = {r["source"]: r["n"] for r in slots.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    end, late = n_slots + slack(last), []
+    for s in sorted(last):
+        late.append((s, end - given.get(s, 0)))
+        end += max(0, last[s] - given.get(s, 0))
+    behind = broadcast_if_small(spark.createDataFrame(late, "source string, behind bigint"))
+    mixed = placed.join(slots, ["source", "block"], "left").join(behind, "source").withColumn("slot", F.coalesce("slot", F.col("behind") + F.col("block")))
     mixture = mixed.select("slot", "source", "block", "repeat", "doc_id", "size", "position")
 
     got = {r["source"]: r for r in placed.groupBy("source").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("uses"), (F.max("repeat") + 1).alias("most")).collect()}
@@ -92,6 +98,11 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block_to
     return mixture, spark.createDataFrame(rows, "source string, weight double, max_repeats int, tokens bigint, quota double, used_tokens bigint, uses bigint, most_uses int, share double")
 
 
+def slack(blocks: dict[str, int]) -> int:
+    """Slots beside those that are needed: a source's slots keep within a few of its share; slots without a block stay empty."""
+    return 4 * len(blocks) + 16
+
+
 def schedule(spark, blocks: dict[str, int], n_slots: int, chunk: int = 1 << 16) -> DataFrame:  # noqa: ANN001
     """(slot, source, block): slot i takes the source of the i-th golden-ratio point; block is the slot's rank among its source's."""
     if not n_slots:
@@ -100,12 +111,13 @@ def schedule(spark, blocks: dict[str, int], n_slots: int, chunk: int = 1 << 16)
     for s, n in blocks.items():
         upto += n
         edges.append((upto / n_slots, s))
+    bounds, names = np.array([e for e, _ in edges[:-1]]), np.array([s for _, s in edges], object)
+
+    @F.pandas_udf("string")
+    def source_at(point: pd.Series) -> pd.Series:
+        return pd.Series(names[np.searchsorted(bounds, point.to_numpy(), side="right")])
+
     point = (F.col("id") + 1) * F.lit(GOLDEN)
-    point = point - F.floor(point)
-    source = F.lit(edges[-1][1])
-    for edge, s in reversed(edges[:-1]):
-        source = F.when(point < edge, s).otherwise(source)
-    # a few more slots than blocks: a source's slots keep within a few of its share; slots without a block stay empty
-    base = spark.range(n_slots + 4 * len(blocks) + 16).select(F.col("id").alias("slot"), source.alias("source"), F.lit(1).alias("step"))
+    base = spark.range(n_slots + slack(blocks)).select(F.col("id").alias("slot"), source_at(point - F.floor(point)).alias("source"), F.lit(1).alias("step"))
     ranked = running_total(base.withColumn("part", F.floor(F.col("slot") / chunk).cast("int")), ["source"], ["slot"], "step", "block", "part")
     return ranked.select("slot", "source", "block")

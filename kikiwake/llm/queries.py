@@ -91,6 +91,12 @@ def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("item_id", "doc_id")
 
 
+def p6_steered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed with the weights of mix_targets as the wanted proportions of every window, as long as the queues last."""
+    packed = packing.pack(doc_sizes(spark, sf_dir).withColumnRenamed("doc_id", "item_id"), targets=table(spark, sf_dir, "mix_targets"))
+    return packed.withColumnRenamed("item_id", "doc_id")
+
+
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(p6_pack(spark, sf_dir))
 
@@ -113,7 +119,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_withdrawn": p2_withdrawn, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_withdrawn": p2_withdrawn, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p6_steered": p6_steered, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

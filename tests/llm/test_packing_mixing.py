@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,45 @@ def test_windows_keep_the_mixture(spark):
     assert sum(off) / len(off) < 0.03
 
 
+def test_turns_and_deficits():
+    """Queues pay for what they give: none gets further from its share than one window and one item, while all of them last."""
+    rnd = random.Random(3)
+    share = np.array([0.6, 0.3, 0.1])
+    sizes, src = [], []
+    for s, n in enumerate((6000, 3000, 1000)):
+        got = 0
+        while got < 10 * n:
+            sizes.append(rnd.randrange(1, 40))
+            src.append(s)
+            got += sizes[-1]
+    order = list(range(len(sizes)))
+    rnd.shuffle(order)
+    sizes, src = [sizes[i] for i in order], [src[i] for i in order]
+    c, o, deficit = P.fill(sizes, src, share, np.zeros(3), 100)
+    used = np.zeros((c.max() + 1, 3))
+    np.add.at(used, (c, src), sizes)
+    assert used.sum(1)[:-5].mean() > 99
+    off = np.abs(np.cumsum(used, 0) - np.arange(1, len(used) + 1)[:, None] * 100 * share)
+    assert off[: int(0.9 * len(off))].max() <= 140
+    assert np.allclose(deficit, len(used) * 100 * share - used.sum(0))
+    _, _, again = P.fill(sizes, src, share, np.array([500.0, -400.0, -100.0]), 100)
+    assert np.allclose(again, deficit + np.array([500.0, -400.0, -100.0]), atol=200)
+
+
+def test_repeated_full_pieces(spark):
+    df = spark.createDataFrame([(1, "a", 250), (1, "a", 250), (1, None, 100)], "item_id bigint, source string, size int")
+    got = P.pack(df, 100).collect()
+    assert len(got) == 7 and len({r["container"] for r in got if r["size"] == 100}) == 5
+
+
+def test_slots_are_numbered_once(spark):
+    """Blocks beyond a source's slots come behind the schedule, and no two blocks have one slot."""
+    rows = [(k, f"s{k % 37}", 10 + k % 7) for k in range(3000)]
+    targets = spark.createDataFrame([(f"s{k}", 1.0 + (k % 5), 3) for k in range(37)], "source string, weight double, max_repeats int")
+    m = M.mix(spark.createDataFrame(rows, "doc_id bigint, source string, size int"), targets, block_tokens=16)[0].select("slot", "source", "block").distinct().collect()
+    assert len({r["slot"] for r in m}) == len(m) and all(r["slot"] is not None for r in m)
+
+
 def test_pack_edges(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (2, "a", 0)], "item_id bigint, source string, size int")
     assert P.pack(df, 10).count() == 3
