@@ -5,9 +5,9 @@ of the record it also stands in. The index has the non-overlapping blocks of all
 probes it; hits are extended to maximal exact repeats.
 
 1. Records with equal texts are folded to one representative first; a text with two or more ids is shared as a whole.
-2. A Bloom filter of fixed size (at most ``2**MAX_BLOOM_BITS`` bits = 16 MB at any scale; it holds no fingerprint that can be read
-   back) is made of all blocks, so that only windows that may meet a block are shuffled. When it is full it lets more windows
-   pass; the result never depends on it.
+2. A Bloom filter (it holds no fingerprint that can be read back) is made of all blocks, so that only windows that may meet a block
+   are shuffled. It has 16 bits a block; blocks of more than ``2**MAX_BLOOM_BITS`` bits (128 MB, 67 million blocks or 4 billion
+   characters) are divided by ranges of their hashes, with a filter and a pass over the texts for each, so a filter never fills up.
 3. Windows and blocks meet by hash. No pairs are made: each block keeps the least and greatest record that holds it, which tells
    for every window whether *another* record has it, at any number of holders.
 4. Around the hits all spans of 120 are hashed with 128 bits; those whose hash occurs in two records are shared. Their union,
@@ -19,8 +19,10 @@ of positions); an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from ..session import persisted
 
-MAX_BLOOM_BITS = 27
+MAX_BLOOM_BITS = 30
+UNION = 64  # partial filters that one task joins at most
 SLICES = 64
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -85,33 +88,48 @@ def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & m).astype(np.int64), ((h >> np.uint64(32)) & m).astype(np.int64)
 
 
-def bloom(docs: DataFrame, block: int, bits: int) -> np.ndarray:
-    """The bits of all blocks: made within partitions, joined slice by slice; what reaches the driver has a fixed size."""
+def _in_range(h: np.ndarray, k: int, ranges: int) -> np.ndarray:
+    return (h >> np.uint64(20)) % np.uint64(ranges) == np.uint64(k) if ranges > 1 else np.ones(len(h), bool)
+
+
+def bloom(docs: DataFrame, block: int, bits: int, k: int = 0, ranges: int = 1) -> np.ndarray:
+    """The bits of all blocks of a range: made within partitions, joined slice by slice in rounds of UNION; what reaches the driver
+    has a fixed size."""
 
     def local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         powers, mine = Powers(_B1), np.zeros((1 << bits) // 8, np.uint8)
         for pdf in parts:
             for text in pdf["text"]:
-                for i in _slots(rolling(code_points(text), block, powers)[::block], bits):
+                h = rolling(code_points(text), block, powers)[::block]
+                for i in _slots(h[_in_range(h, k, ranges)], bits):
                     np.bitwise_or.at(mine, i >> 3, (128 >> (i & 7)).astype(np.uint8))
-        for k, s in enumerate(np.split(mine, SLICES)):
+        part = TaskContext.get().partitionId()
+        for n, s in enumerate(np.split(mine, SLICES)):
             if s.any():
-                yield pd.DataFrame({"slice": [k], "packed": [zlib.compress(s.tobytes(), 1)]})
+                yield pd.DataFrame({"slice": [n], "part": [part], "packed": [zlib.compress(s.tobytes(), 1)]})
 
     def union(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((1 << bits) // SLICES // 8, np.uint8)
         for x in pdf["packed"]:
             out |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "packed": [out.tobytes()]})
-
-    parts = docs.select("text").mapInPandas(local, "slice int, packed binary")
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "part": [pdf["part"].iloc[0] // UNION], "packed": [zlib.compress(out.tobytes(), 1)]})
+
+    schema = "slice int, part int, packed binary"
+    parts, n = docs.select("text").mapInPandas(local, schema), docs.rdd.getNumPartitions()
+    while True:
+        parts = parts.groupBy("slice", F.floor(F.col("part") / UNION).alias("group")).applyInPandas(union, schema)
+        n = -(-n // UNION)
+        if n <= 1:
+            break
     whole = np.zeros((1 << bits) // 8, np.uint8).reshape(SLICES, -1)
-    for r in parts.groupBy("slice").applyInPandas(union, "slice int, packed binary").toLocalIterator():  # SLICES rows
-        whole[r["slice"]] = np.frombuffer(r["packed"], np.uint8)
+    for r in parts.toLocalIterator():  # SLICES rows
+        whole[r["slice"]] |= np.frombuffer(zlib.decompress(r["packed"]), np.uint8)
     return whole.reshape(-1)
 
 
-def shared_spans(docs: DataFrame, min_len: int = 120) -> DataFrame:
+def shared_spans(docs: DataFrame, min_len: int = 120, max_bits: int = MAX_BLOOM_BITS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, start_pos, end_pos), the maximal stretches of exact spans of min_len that other ids hold too."""
     spark = docs.sparkSession
     block = min_len // 2
@@ -122,30 +140,35 @@ def shared_spans(docs: DataFrame, min_len: int = 120) -> DataFrame:
     reps = persisted(long.join(groups.select(F.col("lo").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "spans-reps")
 
     n_blocks = reps.agg(F.coalesce(F.sum(F.floor(F.char_length("text") / block)), F.lit(0)).alias("n")).first()["n"]
-    bits = min(MAX_BLOOM_BITS, max(12, int(16 * n_blocks).bit_length()))
-    held = spark.sparkContext.broadcast(bloom(reps, block, bits).tobytes())
+    ranges = max(1, math.ceil(16 * n_blocks / 2**max_bits))
+    bits = min(max_bits, max(12, int(16 * n_blocks / ranges).bit_length()))
 
-    def probe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, table = Powers(_B1), np.frombuffer(held.value, np.uint8)
+    def probe(k: int) -> DataFrame:
+        held = spark.sparkContext.broadcast(bloom(reps, block, bits, k, ranges).tobytes())
 
-        def has(i: np.ndarray) -> np.ndarray:
-            return (table[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1
+        def near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            powers, table = Powers(_B1), np.frombuffer(held.value, np.uint8)
 
-        for pdf in parts:
-            ids, hs, ps = [], [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                h = rolling(code_points(text), block, powers)
-                a, b = _slots(h, bits)
-                at = np.flatnonzero(has(a))
-                at = at[has(b[at])]
-                ids.append(np.full(len(at), doc_id, np.int64))
-                hs.append(h[at].view(np.int64))
-                ps.append(at.astype(np.int32))
-            if ids:
-                yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(ids), "pos": np.concatenate(ps)})
+            def has(i: np.ndarray) -> np.ndarray:
+                return (table[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1
+
+            for pdf in parts:
+                ids, hs, ps = [], [], []
+                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                    h = rolling(code_points(text), block, powers)
+                    at = np.flatnonzero(_in_range(h, k, ranges))
+                    for i in (0, 1):
+                        at = at[has(_slots(h[at], bits)[i])]
+                    ids.append(np.full(len(at), doc_id, np.int64))
+                    hs.append(h[at].view(np.int64))
+                    ps.append(at.astype(np.int32))
+                if ids:
+                    yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(ids), "pos": np.concatenate(ps)})
+
+        return persisted(reps.mapInPandas(near, "h bigint, doc_id bigint, pos int"), "spans-windows")
 
     # rows of one representative with two texts under one id stay one record: ids are compared, not rows
-    windows = persisted(reps.mapInPandas(probe, "h bigint, doc_id bigint, pos int"), "spans-windows")
+    windows = reduce(DataFrame.unionByName, [probe(k) for k in range(ranges)])
     on_grid = F.col("pos") % block == 0
     met = (
         windows.groupBy("h")
@@ -154,7 +177,16 @@ def shared_spans(docs: DataFrame, min_len: int = 120) -> DataFrame:
     )
     hit = (F.col("b_lo") != F.col("doc_id")) | (F.col("b_hi") != F.col("doc_id"))
     hits = windows.join(met, "h").select("doc_id", "pos", hit.alias("hit"), on_grid.alias("own")).where("hit or own")
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.when(F.col("hit"), F.col("pos"))).alias("hits"), F.collect_list(F.when(F.col("own"), F.col("pos"))).alias("own"))
+    # one bit a position, 64 to a number: what is collected of a record stays far below its text
+    masks = hits.groupBy("doc_id", F.expr("pos >> 6").alias("chunk")).agg(*[F.coalesce(F.expr(f"bit_or(case when {c} then shiftleft(1L, pos & 63) end)"), F.lit(0).cast("bigint")).alias(c) for c in ("hit", "own")])
+    by_doc = masks.groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "hit", "own")).alias("masks"))
+
+    def positions(masks: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+        chunks = np.array([m["chunk"] for m in masks], np.int64)
+        words = np.array([(m["hit"], m["own"]) for m in masks], np.int64).reshape(-1, 2)
+        bits = np.unpackbits(np.ascontiguousarray(words.T).view(np.uint8).reshape(2, len(chunks), 8), axis=2, bitorder="little").astype(bool)
+        at = chunks[:, None] * 64 + np.arange(64)
+        return at[bits[0]], at[bits[1]]
 
     def near(at: np.ndarray, n: int) -> np.ndarray:
         """Starts of spans that hold a window at one of these positions."""
@@ -167,10 +199,11 @@ def shared_spans(docs: DataFrame, min_len: int = 120) -> DataFrame:
         one, two = Powers(_B1), Powers(_B2)
         for pdf in parts:
             out = [], [], [], []
-            for doc_id, text, hits_, own in zip(pdf["doc_id"], pdf["text"], pdf["hits"], pdf["own"]):
+            for doc_id, text, masks_ in zip(pdf["doc_id"], pdf["text"], pdf["masks"]):
                 codes = code_points(text)
                 n = len(codes) - min_len + 1
-                at = np.flatnonzero(near(np.asarray(hits_, np.int64), n) & near(np.asarray(own, np.int64), n)) if n > 0 else ()
+                hit_, own = positions(masks_, n)
+                at = np.flatnonzero(near(hit_, n) & near(own, n)) if n > 0 else ()
                 if len(at):
                     for o, x in zip(out, (np.full(len(at), doc_id, np.int64), at.astype(np.int32), rolling(codes, min_len, one)[at].view(np.int64), rolling(codes, min_len, two)[at].view(np.int64))):
                         o.append(x)

@@ -34,3 +34,17 @@ def test_against_brute_force(spark):
     share = {r["doc_id"]: r["shared"] for r in S.shared_share(df, S.shared_spans(df, 20)).collect()}
     assert len(share) == len(rows) and share[204] == 0.0 and share[202] == 0.0
     assert S.shared_spans(df.where("false"), 20).count() == 0
+
+
+def test_tiny_filters_and_a_block_in_half_of_all(spark):
+    """A range of hashes for each tiny filter; a passage that half of the records hold at any place; the union of many filters."""
+    rnd = random.Random(4)
+    note = "".join(rnd.choices("あいうえおかきくけこ", k=70))
+    rows = []
+    for k in range(160):
+        t = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(80)))
+        rows.append((k, t + (note[rnd.randrange(20) :] if k % 2 else "") + "".join(rnd.choices("ABCDEFGH", k=30))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(70)
+    assert 16 * sum(len(t) // 10 for _, t in rows) > 4 * 2**12
+    got = S.shared_spans(df, 20, max_bits=12)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 20)
