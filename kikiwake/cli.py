@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import sinks
 from .functions.text import lines, strip_punct
-from .operators import collect, evaluate, harvest, pipeline, tokens
-from .session import local_session, persisted
+from .operators import collect, evaluate, harvest, pipeline, state, tokens
+from .session import broadcast_if_small, local_session, persisted
 from .sources import articles as sources
 from .sources import logs
 from .types import LOOSE, STRICT, ExtractOptions, NormalizeOptions, VoiceSpec
@@ -85,7 +85,7 @@ def sweep(spark: SparkSession, words: DataFrame, refs: DataFrame, recognize: Cal
     if not n_refs:
         raise ValueError("no references")
     steps = F.array(*[F.lit(r["n"]) for r in pts.select("n").collect()])  # the points of a user's sweep
-    cells = refs.withColumn("n", F.explode(steps)).join(F.broadcast(pts), "n")
+    cells = refs.withColumn("n", F.explode(steps)).join(broadcast_if_small(pts, 1_000), "n")
     heard = recognize(cells).where("hypothesis is not null")
     pairs = heard.select("n", "audio", tokenize(strip_punct(F.col("text"))).alias("reference"), tokenize(strip_punct(F.col("hypothesis"))).alias("hypothesis"))
     out = persisted(pipeline.process(pairs, opts=opts), "sweep")
@@ -119,6 +119,7 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--model", default="model")
             s.add_argument("--asr")
             s.add_argument("--seen")
+            s.add_argument("--cache")
             s.add_argument("--min-votes", type=int)
             s.add_argument("--max-per-article", type=int, default=20)
             s.add_argument("--dry-run", action="store_true")
@@ -161,14 +162,18 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         voices = [VoiceSpec(a.engine, v, r) for v in a.voice or ["1"] for r in a.rate or [1.0]]
         votes = a.min_votes or (2 if len({v.voice for v in voices}) >= 2 else 1)
-        none_a, none_h = spark.createDataFrame([], "audio_key string, payload binary"), spark.createDataFrame([], "asr_key string, hypothesis string")
-        run = harvest.run(arts, seen, voices, a.model, none_a, none_h, harvest.text_payload, harvest.mapped(mapping(spark, a.asr)), tokenize, opts_x, votes, opts)
+        engines = (harvest.text_payload, harvest.mapped(mapping(spark, a.asr)), tokenize, opts_x, votes, opts)
+        if a.cache:
+            run = harvest.run_cached(arts, seen, voices, a.model, a.cache, *engines)
+        else:
+            none = [spark.createDataFrame([], x) for x in (harvest.AUDIO, harvest.ASR)]
+            run = harvest.run(arts, seen, voices, a.model, *none, *engines)
         save(run.danger, run.rejects)
         print(run.metrics.first().asDict(), file=sys.stderr)
         for r in collect.dropped(run.votes, votes).orderBy("reference_surface", "hypothesis_surface").toLocalIterator():
             print(f"[voted out] {r['reference_surface']} {r['hypothesis_surface']} {r['speakers']}", file=sys.stderr)
         if a.seen:
-            run.seen.coalesce(1).write.mode("append").json(a.seen)
+            state.append_seen(run.seen, seen, a.seen)
     else:
         words = logs.dictionary(spark, a.input)
         curve, rec, pruned = sweep(spark, words, logs.refs(spark, a.refs).select("audio", "text"), harvest.mapped(mapping(spark, a.asr)), tokenize, a.step, a.max_words, a.min_delta, a.patience, opts)

@@ -20,6 +20,8 @@ VOWELS = {
     "O": "オコソトノホモヨロヲゴゾドボポォョ",
 }
 ALONE = "アイウエオ"
+# The vowels that draw out each vowel; E and O come before I and U, whose kana they take.
+LENGTHENS = {"A": "ア", "E": "エイ", "I": "イ", "O": "オウ", "U": "ウ"}
 
 
 def to_katakana(c: Column) -> Column:
@@ -56,14 +58,9 @@ def normalize(c: Column, opts: NormalizeOptions = LOOSE) -> Column:
         s = F.replace(s, F.lit("ッ"), F.lit(""))
     if not opts.prolonged:
         return s
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("vowel"))
-
-    def step(a: Column, x: Column) -> Column:
-        v = F.coalesce(vowel_of(x), F.lit(""))
-        before = a["vowel"]
-        # a sokuon that is kept ends the vowel before it, as every sign without a vowel does
-        lengthens = (x == "ー") | (F.lit(ALONE).contains(x) & (x != "") & (before != "") & is_long_pair(before, v))
-        out = F.when((x == "ー") & (before == ""), F.lit("")).when(lengthens, F.lit("ー")).otherwise(x)
-        return F.struct(F.concat(a["out"], out).alias("out"), F.when(lengthens, before).otherwise(v).alias("vowel"))
-
-    return F.aggregate(F.split(s, ""), start, step, lambda a: a["out"])
+    # a mark of length without a vowel before it goes; then each vowel that only draws out the one before it becomes such a mark,
+    # and goes on drawing it out (\\G), so that the vowel is that of the kana the run began with
+    s = F.regexp_replace(s, f"(?<![{''.join(VOWELS.values())}ー])ー+", "")
+    for v, run in LENGTHENS.items():
+        s = F.regexp_replace(s, f"(?:(?<=[{VOWELS[v]}])|(?!^)\\G)(ー*)[{run}]", "$1ー")
+    return s

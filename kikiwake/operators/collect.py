@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -20,6 +21,16 @@ def ranked(words: DataFrame) -> DataFrame:
     return words.orderBy(F.desc("count"), F.asc("word"))
 
 
+def positions(words: DataFrame) -> DataFrame:
+    """(pos, word, count) in the order of ``ranked``. Words are ranked within their count, so that no task holds them all; one row per
+    distinct count meets in one place."""
+    rows = words.withColumn("neg", -F.col("count"))
+    per = rows.groupBy("neg").agg(F.count(F.lit(1)).alias("n"))
+    before = per.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("neg").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(W.partitionBy("neg").orderBy("word")) - 1
+    return rows.withColumn("rank", rank).join(before, "neg").select((F.col("rank") + F.col("before")).cast("bigint").alias("pos"), "word", "count")
+
+
 def pair_votes(outcomes: DataFrame, speaker: str = "speaker") -> DataFrame:
     """(reference_surface, hypothesis_surface, speakers, outcomes) of the homophones. Distinct speakers are reduced before they are
     counted, so that a hot pair holds a row per speaker, not per outcome."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -47,6 +47,11 @@ class Harvest:
     refs: DataFrame
     cells: DataFrame = field(repr=False)
 
+    def keep(self, audio_path: str, asr_path: str) -> None:
+        """Append what this run made to the caches of audio and recognitions; the next run finds it there."""
+        state.append_absent(self.cells.where("not audio_hit and payload is not null").select("audio_key", "payload"), audio_path, "audio_key")
+        state.append_absent(self.cells.where("not asr_hit and hypothesis is not null").select("asr_key", "hypothesis"), asr_path, "asr_key")
+
 
 def run(
     articles: DataFrame, seen: DataFrame, voices: list[VoiceSpec], model: str, audio: DataFrame, asr: DataFrame,
@@ -88,6 +93,21 @@ def completeness(articles: DataFrame, by_sentence: DataFrame, seen: DataFrame) -
     return fresh.join(state_of, "article", "left").where("coalesce(complete, true)").select("article", F.lit(None).cast("string").alias("sentence"))
 
 
+AUDIO, ASR = "audio_key string, payload binary", "asr_key string, hypothesis string"
+
+
+def caches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The caches of earlier runs, empty before the first."""
+    return state.stored(spark, f"{folder}/audio", AUDIO), state.stored(spark, f"{folder}/asr", ASR)
+
+
+def run_cached(articles: DataFrame, seen: DataFrame, voices: list[VoiceSpec], model: str, folder: str, *rest: object, **options: object) -> Harvest:
+    """``run`` with the caches of a folder, read before and added to behind."""
+    out = run(articles, seen, voices, model, *caches(articles.sparkSession, folder), *rest, **options)
+    out.keep(f"{folder}/audio", f"{folder}/asr")
+    return out
+
+
 def echo(df: DataFrame) -> DataFrame:
     """A recognizer double: hears what was said."""
     return df.withColumn("hypothesis", F.col("text"))

@@ -4,7 +4,6 @@ that is repeated after a failure adds nothing twice."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,29 +27,34 @@ def absent(rows: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return rows.dropDuplicates([key]).join(log.select(key), key, "left_anti")
 
 
-def append_absent(rows: DataFrame, log_path: str, key: str) -> None:
-    """Append the rows whose key the Parquet log doesn't hold."""
-    spark = rows.sparkSession
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet log, empty where there is none yet."""
     try:
-        log = spark.read.schema(rows.schema).parquet(log_path)
-        rows = absent(rows, log, key)
+        return spark.read.schema(schema).parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        rows = rows.dropDuplicates([key])
-    rows.write.mode("append").parquet(log_path)
+        return spark.createDataFrame([], schema)
+
+
+def append_absent(rows: DataFrame, log_path: str, key: str) -> None:
+    """Append the rows whose key the Parquet log doesn't hold. The commit of the write makes them appear all at once."""
+    log = stored(rows.sparkSession, log_path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+    absent(rows, log, key).write.mode("append").parquet(log_path)
+
+
+def append_seen(marks: DataFrame, seen: DataFrame, path: str) -> None:
+    """Append to the JSON log the marks (article, sentence) it doesn't hold."""
+    same = [marks[c].eqNullSafe(seen[c]) for c in ("article", "sentence")]
+    marks.distinct().join(seen, same[0] & same[1], "left_anti").coalesce(1).write.mode("append").json(path)
 
 
 def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = W.partitionBy(key).orderBy(order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key; combined before the shuffle, so a hot key is a row per partition."""
+    return first_in_run(rows, key, [order])
 
 
 def cached(rows: DataFrame, cache: DataFrame, key: str, value: str) -> DataFrame:
     """Rows with the cached value, null where it has to be worked out, and ``hit``."""
     c = cache.select(key, F.col(value)).dropDuplicates([key])
     return rows.join(c, key, "left").withColumn("hit", F.col(value).isNotNull())
-
-
-def empty_log(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)

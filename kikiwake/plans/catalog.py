@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,11 @@ from .. import sinks, streaming
 from ..functions import keys as K
 from ..functions import reading as R
 from ..functions import text as X
-from ..operators import collect, diff, evaluate, extract, harvest, pipeline, state, tokens
-from ..session import persisted, shared_dir, table
+from ..operators import collect, diff, evaluate, extract, harvest, lattice, pipeline, state, tokens
+from ..session import broadcast_if_small, new_path, persisted, table
 from ..sources import articles as A
 from ..sources import logs
-from ..types import LENIENT, LOOSE, STRICT, ExtractOptions, NormalizeOptions
+from ..types import LENIENT, LOOSE, SEEN, STRICT, TOKENS, ExtractOptions, NormalizeOptions, VoiceSpec
 from . import sqltext as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,15 +165,17 @@ _OUTCOMES = f"SELECT * EXCLUDE (is_homophone), coalesce(r <> '' AND r = h, false
 
 
 def outcomes(spark: SparkSession, d: str, *keep: str) -> DataFrame:
-    """Candidates, delivered once or more, classified by their normalized readings."""
-    once = table(spark, d, "candidates").distinct()
+    """Candidates, delivered once or more, classified by their normalized readings; ``keep`` are the columns wanted beside cand_id and
+    the readings. A row delivered again is the same row, so what is compared is what is wanted."""
+    wanted = keep or ("article_key", "speaker", "reference_surface", "hypothesis_surface", "heard_at")
+    once = table(spark, d, "candidates").select("cand_id", "reference_reading", "hypothesis_reading", *wanted).distinct()
     read = once.withColumn("reference_reading", R.normalize(c("reference_reading"))).withColumn("hypothesis_reading", R.normalize(c("hypothesis_reading")))
     return read.withColumn("is_homophone", pipeline.homophone(c("reference_reading"), c("hypothesis_reading")))
 
 
 @query("f08_homophones", f"SELECT cand_id, r AS reference_reading, h AS hypothesis_reading, is_homophone FROM ({_OUTCOMES})")
 def f08(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes(spark, d).select("cand_id", "reference_reading", "hypothesis_reading", "is_homophone")
+    return outcomes(spark, d, "reference_surface").select("cand_id", "reference_reading", "hypothesis_reading", "is_homophone")
 
 
 @query("f12_row_skips", f"SELECT article_idx FROM articles WHERE id <> '' AND {S.trim('body')} <> ''")
@@ -273,7 +276,7 @@ def j09(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j13_readings", "SELECT token_id, CASE WHEN t.reading IS NULL OR t.reading IN ('', '*') THEN coalesce(l.reading, " + S.katakana("t.surface") + ") ELSE t.reading END AS reading FROM tokens t LEFT JOIN lexicon l USING (surface)")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    lex = F.broadcast(table(spark, d, "lexicon").select("surface", c("reading").alias("known")))  # a fixed table of 621 rows
+    lex = broadcast_if_small(table(spark, d, "lexicon").select("surface", c("reading").alias("known")))
     t = table(spark, d, "tokens").join(lex, "surface", "left")
     own = F.when(c("reading").isin("", "*"), None).otherwise(c("reading"))
     return t.select("token_id", F.coalesce(own, "known", R.to_katakana(c("surface"))).alias("reading"))
@@ -349,16 +352,16 @@ _DANGER = f"SELECT reference_surface AS word, arg_min(r, cand_id) AS reading, co
 
 
 def danger(spark: SparkSession, d: str) -> DataFrame:
-    return collect.danger(outcomes(spark, d), ["cand_id"])
+    return collect.danger(outcomes(spark, d, "reference_surface"), ["cand_id"])
 
 
 query("a01_danger", _DANGER)(danger)
-query("a03_danger_len", f"SELECT count(DISTINCT reference_surface) AS words FROM ({_OUTCOMES}) WHERE is_homophone")(lambda s, d: outcomes(s, d).where("is_homophone").agg(F.count_distinct("reference_surface").alias("words")))
-query("a04_rejects", f"SELECT reference_surface, hypothesis_surface, r AS reference_reading, h AS hypothesis_reading FROM ({_OUTCOMES}) WHERE NOT is_homophone")(lambda s, d: collect.rejects(outcomes(s, d)))
+query("a03_danger_len", f"SELECT count(DISTINCT reference_surface) AS words FROM ({_OUTCOMES}) WHERE is_homophone")(lambda s, d: outcomes(s, d, "reference_surface").where("is_homophone").agg(F.count_distinct("reference_surface").alias("words")))
+query("a04_rejects", f"SELECT reference_surface, hypothesis_surface, r AS reference_reading, h AS hypothesis_reading FROM ({_OUTCOMES}) WHERE NOT is_homophone")(lambda s, d: collect.rejects(outcomes(s, d, "reference_surface", "hypothesis_surface")))
 _VOTES = f"SELECT reference_surface, hypothesis_surface, count(DISTINCT speaker) AS speakers, CAST(count(*) AS BIGINT) AS outcomes FROM ({_OUTCOMES}) WHERE is_homophone GROUP BY 1, 2"
-query("a05_votes", _VOTES)(lambda s, d: collect.pair_votes(outcomes(s, d)))
-query("a06_vote_summary", f"SELECT count(*) FILTER (speakers >= 3) AS passed_pairs, count(*) FILTER (speakers < 3) AS dropped_pairs FROM ({_VOTES})")(lambda s, d: collect.vote_summary(collect.pair_votes(outcomes(s, d)), 3))
-query("a06_dropped", f"SELECT reference_surface, hypothesis_surface, speakers FROM ({_VOTES}) WHERE speakers < 3")(lambda s, d: collect.dropped(collect.pair_votes(outcomes(s, d)), 3))
+query("a05_votes", _VOTES)(lambda s, d: collect.pair_votes(outcomes(s, d, "speaker", "reference_surface", "hypothesis_surface")))
+query("a06_vote_summary", f"SELECT count(*) FILTER (speakers >= 3) AS passed_pairs, count(*) FILTER (speakers < 3) AS dropped_pairs FROM ({_VOTES})")(lambda s, d: collect.vote_summary(collect.pair_votes(outcomes(s, d, "speaker", "reference_surface", "hypothesis_surface")), 3))
+query("a06_dropped", f"SELECT reference_surface, hypothesis_surface, speakers FROM ({_VOTES}) WHERE speakers < 3")(lambda s, d: collect.dropped(collect.pair_votes(outcomes(s, d, "speaker", "reference_surface", "hypothesis_surface")), 3))
 query("a07_min_votes", "SELECT article_key, CASE WHEN count(DISTINCT speaker) >= 2 THEN 2 ELSE 1 END AS min_votes FROM candidates GROUP BY article_key")(
     lambda s, d: table(s, d, "candidates").groupBy("article_key").agg(F.when(F.count_distinct("speaker") >= 2, 2).otherwise(1).alias("min_votes"))
 )
@@ -366,13 +369,13 @@ query("a07_min_votes", "SELECT article_key, CASE WHEN count(DISTINCT speaker) >=
 
 @query("j10_passed_pairs", f"WITH o AS ({_OUTCOMES}), v AS ({_VOTES}) SELECT cand_id FROM o WHERE NOT is_homophone UNION ALL SELECT cand_id FROM o JOIN v ON o.reference_surface IS NOT DISTINCT FROM v.reference_surface AND o.hypothesis_surface = v.hypothesis_surface WHERE is_homophone AND speakers >= 3")
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    return collect.passed(outcomes(spark, d), 3).select("cand_id")
+    return collect.passed(outcomes(spark, d, "speaker", "reference_surface", "hypothesis_surface"), 3).select("cand_id")
 
 
 @query("e2e_danger", f"WITH o AS ({_OUTCOMES}), v AS ({_VOTES}) SELECT reference_surface AS word, arg_min(r, cand_id) AS reading, count(*) AS count FROM o SEMI JOIN (SELECT * FROM v WHERE speakers >= 2) USING (reference_surface, hypothesis_surface) WHERE is_homophone GROUP BY 1")
 def e2e(spark: SparkSession, d: str) -> DataFrame:
     """Classified, voted, tallied: the dictionary."""
-    heard = outcomes(spark, d).select("cand_id", "speaker", "reference_surface", "hypothesis_surface", "reference_reading", "is_homophone")
+    heard = outcomes(spark, d, "speaker", "reference_surface", "hypothesis_surface").drop("hypothesis_reading")
     return collect.danger(collect.passed(persisted(heard.where("is_homophone"), "outcomes"), 2), ["cand_id"])
 
 
@@ -410,13 +413,8 @@ _CURVE = f"WITH dict AS ({_DICT}), p AS ({_POINTS}) SELECT n, CAST(coalesce(sum(
 
 
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
-    """(pos, word, count) in dictionary order. Words are ranked within ranges of the count, so that no task holds them all."""
-    words = danger(spark, d).withColumn("neg", -c("count"))
-    per = words.groupBy("neg").agg(F.count(F.lit(1)).alias("n"))
-    # one row per distinct count meets here
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("neg").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(W.partitionBy("neg").orderBy("word")) - 1
-    return words.withColumn("rank", rank).join(before, "neg").select((c("rank") + c("before")).cast("bigint").alias("pos"), "word", "count")
+    """(pos, word, count) in dictionary order."""
+    return collect.positions(danger(spark, d))
 
 
 def ranked_once(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
@@ -430,14 +428,16 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def the_curve(spark: SparkSession, d: str) -> DataFrame:
-    """A word collides at every point that doesn't yet include it; outcomes are summed by word before they meet the points."""
+    """The sweep: every reference is heard at every point of the schedule, with the first n words as a bias; a word of the bias is heard
+    as it was said, all others as they were heard without one. Then the outcomes are counted by point."""
     words, n_words = ranked_once(spark, d)
-    pts = [r["n"] for r in evaluate.schedule(spark, n_words, CAP, STEP).collect()]  # at most CAP / STEP + 2
-    hit = words.select("count", F.explode(F.filter(F.array(*[F.lit(p) for p in sorted(pts)]), lambda n: n <= c("pos"))).alias("n"))
-    sums = hit.groupBy("n").agg(F.sum("count").alias("c"))
-    refs = table(spark, d, "candidates").select("cand_id").distinct().count()
-    n = F.coalesce("c", F.lit(0))
-    return spark.createDataFrame([(p,) for p in pts], "n int").join(sums, "n", "left").select("n", n.alias("collisions"), (n / F.lit(float(refs))).alias("rate"))
+    pts = persisted(evaluate.schedule(spark, n_words, CAP, STEP), "points")
+    at = F.explode(F.array(*[F.lit(r["n"]) for r in pts.collect()]))  # at most CAP / STEP + 2
+    heard = outcomes(spark, d, "reference_surface")
+    known = broadcast_if_small(words.select(c("word").alias("reference_surface"), "pos"))
+    cells = heard.join(known, "reference_surface", "left").select(at.alias("n"), "cand_id", "pos", "is_homophone")
+    biased = cells.withColumn("is_homophone", c("is_homophone") & (c("pos") >= c("n")))
+    return evaluate.curve(pts, biased, heard.select("cand_id").distinct().count())
 
 
 query("o06_schedule", f"SELECT CAST(n AS INT) AS n FROM ({_POINTS})")(points)
@@ -450,7 +450,7 @@ query("w03_final_n", f"SELECT CAST(coalesce((SELECT recommended_n FROM ({_PLATEA
 
 @query("j11_prune", f"WITH dict AS ({_DICT}), c0 AS (SELECT DISTINCT reference_surface AS word FROM ({_OUTCOMES}) WHERE is_homophone), cf AS (SELECT DISTINCT reference_surface AS word FROM ({_OUTCOMES}) WHERE is_homophone AND speaker IS NULL) SELECT pos, word FROM dict WHERE pos < 100 AND word IN (SELECT word FROM c0) AND word NOT IN (SELECT word FROM cf)")
 def j11(spark: SparkSession, d: str) -> DataFrame:
-    o = outcomes(spark, d).where("is_homophone")
+    o = outcomes(spark, d, "reference_surface", "speaker").where("is_homophone")
     return evaluate.pruned(dictionary(spark, d), o.select(c("reference_surface").alias("word")), o.where("speaker is null").select(c("reference_surface").alias("word")), 100)
 
 
@@ -458,7 +458,7 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
 
 query("k01_txt", f"SELECT word AS value FROM ({_DANGER})")(lambda s, d: sinks.txt_lines(danger(s, d)))
 query("k02_counts", f"SELECT word || chr(9) || count AS value FROM ({_DANGER})")(lambda s, d: sinks.count_lines(danger(s, d)))
-query("k04_reject_log", f"SELECT concat_ws(chr(9), reference_surface, hypothesis_surface, r, h) AS value FROM ({_OUTCOMES}) WHERE NOT is_homophone")(lambda s, d: sinks.reject_lines(collect.rejects(outcomes(s, d))))
+query("k04_reject_log", f"SELECT concat_ws(chr(9), reference_surface, hypothesis_surface, r, h) AS value FROM ({_OUTCOMES}) WHERE NOT is_homophone")(lambda s, d: sinks.reject_lines(collect.rejects(outcomes(s, d, "reference_surface", "hypothesis_surface"))))
 query("k06_curve_tsv", f"SELECT printf('%d\t%d\t%.6f', n, collisions, rate) AS value FROM ({_CURVE})")(lambda s, d: sinks.curve_lines(the_curve(s, d)))
 query("k08_refs_append", "WITH r AS (SELECT source || '/' || id AS audio, min(article_idx) AS i FROM articles WHERE batch_no >= 6 GROUP BY 1) SELECT audio FROM r WHERE audio NOT IN (SELECT source || '/' || id FROM articles WHERE batch_no < 6)")(
     lambda s, d: (lambda a: state.absent(a.where("batch_no >= 6").select("audio"), a.where("batch_no < 6"), "audio"))(table(s, d, "articles").select("batch_no", K.article_key(c("source"), c("id")).alias("audio")))
@@ -495,7 +495,7 @@ def st1(spark: SparkSession, d: str) -> DataFrame:
     """Distinct sentences of a stream over the documents, whatever arrives first."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     stream = _stream(spark, d, "documents", docs)
-    out = f"{shared_dir(spark)}/st1-{id(stream)}"
+    out = new_path(spark, "st1")
     first = streaming.first_sentences(stream).select("sentence")
     q = first.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -531,6 +531,26 @@ def s05(spark: SparkSession, d: str) -> DataFrame:
     return p.select("article_idx", A.text_or_empty(c("p"), "$.title").alias("title"), A.count_or_zero(c("p"), "$.popularity").alias("popularity"))
 
 
+@query("s05_odd_counts", "SELECT article_idx, x AS form, CASE x WHEN 'string' THEN 0 WHEN 'negative' THEN 0 WHEN 'large' THEN popularity + 705032704 ELSE 0 END AS popularity FROM articles, (SELECT unnest(['string', 'negative', 'large', 'fraction', 'none', 'flag']) AS x) WHERE popularity < 1000000")
+def s05_odd(spark: SparkSession, d: str) -> DataFrame:
+    """Counts that are strings, negative, beyond 32 bits, fractions, missing or truth values."""
+    n = c("popularity").cast("string")
+    forms = {"string": F.concat(F.lit('{"n":"'), n, F.lit('"}')), "negative": F.concat(F.lit('{"n":-'), (c("popularity") + 1).cast("string"), F.lit("}")), "large": F.concat(F.lit('{"n":'), (c("popularity") + 5_000_000_000).cast("string"), F.lit("}")), "fraction": F.concat(F.lit('{"n":'), n, F.lit(".5}")), "none": F.lit("{}"), "flag": F.lit('{"n":true}')}
+    rows = table(spark, d, "articles").where("popularity < 1000000").select("article_idx", "popularity", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("p")) for k, v in forms.items()])).alias("x"))
+    return rows.select("article_idx", "x.form", A.count_or_zero(c("x.p"), "$.n").alias("popularity"))
+
+
+@query("s11_json_dictionary", f"SELECT dict_id, i - 1 AS pos, w AS word FROM (SELECT dict_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT dict_id, list(word ORDER BY pos, word, count) AS l FROM (SELECT DISTINCT dict_id, pos, word, count FROM amical_terms WHERE word IS NOT NULL) GROUP BY dict_id))")
+def s11_json(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionaries as JSON documents, every second term followed by one whose word is a number, a null or missing."""
+    rows = table(spark, d, "amical_terms").where("word is not null").select("dict_id", "pos", "word", "count").distinct()
+    odd = F.element_at(F.array(F.lit('{"word":5}'), F.lit('{"word":null,"count":1}'), F.lit('{"count":2}')), (F.pmod(c("x.pos"), F.lit(3)) + 1).cast("int"))
+    listed = rows.groupBy("dict_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "count"))).alias("xs")).select("dict_id", F.posexplode("xs").alias("i", "x"))
+    term = F.concat(F.to_json(F.struct("x.word", "x.count")), F.when(c("i") % 2 == 1, F.concat(F.lit(","), odd)).otherwise(F.lit("")))
+    texts = listed.select("dict_id", "i", term.alias("t")).groupBy("dict_id").agg(F.concat(F.lit('{"schema":"terms","terms":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), ","), F.lit("]}")).alias("content"))
+    return texts.select("dict_id", F.posexplode(logs.dictionary_words(c("content"))).alias("pos", "word")).withColumn("pos", c("pos").cast("bigint"))
+
+
 @query("s14_counts", "SELECT str_split(line, chr(9))[1] AS word, TRY_CAST(str_split(line, chr(9))[2] AS BIGINT) AS count FROM (SELECT coalesce(word, '') || chr(9) || coalesce(CAST(count AS VARCHAR), '') AS line FROM danger) WHERE len(str_split(line, chr(9))) = 2")
 def s14(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.coalesce("word", F.lit("")), F.lit("\t"), F.coalesce(c("count").cast("string"), F.lit("")))
@@ -540,7 +560,7 @@ def s14(spark: SparkSession, d: str) -> DataFrame:
 @query("s10_seen", "SELECT source || '/' || id AS article, NULL AS sentence FROM articles GROUP BY ALL")
 def s10(spark: SparkSession, d: str) -> DataFrame:
     """The log of seen articles written as JSON lines and read again."""
-    path = f"{shared_dir(spark)}/seen-{spark.sparkContext.applicationId}-{id(d)}"
+    path = new_path(spark, "seen")
     table(spark, d, "articles").select(K.article_key(c("source"), c("id")).alias("article")).write.mode("overwrite").json(path)
     return logs.seen(spark, path)
 
@@ -566,7 +586,7 @@ query("k07_prune_list", f"SELECT word AS value FROM ({_SQL['j11_prune']})")(lamb
 def st2(spark: SparkSession, d: str) -> DataFrame:
     """The dictionary kept while outcomes arrive; every batch replaces what was saved before."""
     rows = table(spark, d, "candidates").select("reference_surface", "is_homophone")
-    out = f"{shared_dir(spark)}/st2-{id(rows)}"
+    out = new_path(spark, "st2")
     stream = _stream(spark, d, "candidates", rows)
     q = streaming.catch_up(streaming.running_dictionary(stream), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/dictionary"), f"{out}/state", "complete")
     q.awaitTermination()
@@ -577,3 +597,136 @@ def _stream(spark: SparkSession, d: str, name: str, like: DataFrame) -> DataFram
     if _is_dir(spark, d, name):
         return spark.readStream.schema(like.schema).parquet(f"{d}/{name}.parquet")
     return spark.readStream.schema(like.schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+# ---------------------------------------------------------------- whole runs, caches, engines, orders
+
+
+def _flat(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "articles").select("article_idx", "id", "source", "body_kind", "body", "dedup", "trusted")
+    return a.withColumn("dedup", F.coalesce("dedup", F.lit(False))).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+
+
+_TRUSTED = _SENT.replace("FROM articles)", "FROM articles WHERE coalesce(trusted, false))")
+_OPEN = _SENT.replace("FROM articles)", "FROM articles WHERE NOT coalesce(trusted, false))")
+_BY_TRUST = f"SELECT * FROM ({_extract_sql(LENIENT, _TRUSTED)}) UNION ALL SELECT * FROM ({_extract_sql(ExtractOptions(), _OPEN)})"
+_PENDING_RUN = f"SELECT article_idx, sent_idx, {S.sentence_hash('text')} AS sentence FROM ({_BY_TRUST}) QUALIFY row_number() OVER (PARTITION BY {S.sentence_hash('text')} ORDER BY article_idx, sent_idx) = 1"
+
+
+@query("x11_by_trust", f"SELECT article_idx, sent_idx FROM ({_BY_TRUST})")
+def x11t(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract_by_trust(_flat(spark, d)).select("article_idx", c("sent_idx").cast("bigint").alias("sent_idx"))
+
+
+@query("s08_dry_run", f"SELECT article_idx, sent_idx FROM ({_PENDING_RUN})")
+def s08(spark: SparkSession, d: str) -> DataFrame:
+    """What a run would work on, were nothing seen before."""
+    nothing = spark.createDataFrame([], "article string, sentence string")
+    return harvest.pending(_flat(spark, d), nothing).select("article_idx", c("sent_idx").cast("bigint").alias("sent_idx"))
+
+
+@query("h01_second_run", f"SELECT count(*) AS sentences, 2 * count(*) AS cells, 2 * count(*) AS audio_hits, 2 * count(*) AS asr_hits, 0 AS failures FROM ({_PENDING_RUN})")
+def h01(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs through one folder of caches; the counters of the second, which finds all it needs there."""
+    folder, voices = new_path(spark, "caches"), [VoiceSpec(ENGINE, v) for v in VOICES]
+    nothing = spark.createDataFrame([], "article string, sentence string")
+    for _ in range(2):
+        out = harvest.run_cached(_flat(spark, d), nothing, voices, MODEL, folder, harvest.text_payload, harvest.echo, tokens.word_tokens)
+    return out.metrics.withColumn("failures", c("failures").cast("int"))
+
+
+@query("k09_seen_again", "SELECT DISTINCT source || '/' || id AS article, NULL AS sentence FROM articles")
+def k09(spark: SparkSession, d: str) -> DataFrame:
+    """The log of seen articles, written in two overlapping halves: each article once."""
+    path = new_path(spark, "seen")
+    a = table(spark, d, "articles").select("batch_no", K.article_key(c("source"), c("id")).alias("article"), F.lit(None).cast("string").alias("sentence"))
+    for part in (a.where("batch_no < 8"), a.where("batch_no >= 4")):
+        state.append_seen(part.select("article", "sentence"), logs.seen(spark, path), path)
+    return logs.json_lines(spark, path, SEEN)
+
+
+@query("k11_archive", "SELECT id AS slug, count(DISTINCT body) > 0 AS kept FROM articles WHERE body_kind = 'Html' AND body IS NOT NULL AND id IS NOT NULL GROUP BY 1")
+def k11(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads kept twice over: one row an item."""
+    path = new_path(spark, "archive")
+    items = table(spark, d, "articles").where("body_kind = 'Html'").select(c("id").alias("slug"), c("body").alias("payload"))
+    for _ in range(2):
+        A.archived(items, path)
+    return state.stored(spark, path, "slug string, payload string").groupBy("slug").agg((F.count("payload") == 1).alias("kept"))
+
+
+query("o05_merged_order", f"SELECT row_number() OVER (ORDER BY count DESC, word) - 1 AS pos, word, count FROM ({_SQL['a11_merge']}) WHERE count IS NOT NULL")(lambda s, d: collect.positions(a11(s, d).where("count is not null")))
+
+
+@query("s09_refs", _SQL["d03_first_refs"])
+def s09(spark: SparkSession, d: str) -> DataFrame:
+    """References written as JSON lines in their order and read again, the first of each audio."""
+    path = new_path(spark, "refs")
+    rows = table(spark, d, "articles").where("title is not null").select("article_idx", K.article_key(c("source"), c("id")).alias("audio"), c("title").alias("text"))
+    rows.coalesce(1).sortWithinPartitions("article_idx").select("audio", "text").write.json(path)
+    return logs.refs(spark, path).select("audio", "text")
+
+
+@query("k03_term_document", f"SELECT pos, word, count FROM ({_DICT})")
+def k03(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON document of all terms, written and read again."""
+    out = io.StringIO()
+    sinks.term_document(danger(spark, d), "terms", "general", "test", out)
+    doc = spark.createDataFrame([(out.getvalue(),)], "content string")
+    terms = F.from_json("content", "terms array<struct<word string, count bigint>>")["terms"]
+    return doc.select(F.posexplode(terms).alias("pos", "t")).select(c("pos").cast("bigint").alias("pos"), "t.word", "t.count")
+
+
+@query("s02_files", "SELECT 'file' AS source, 'Plain' AS body_kind, false AS dedup, true AS trusted, count(*) AS lines FROM lexicon")
+def s02(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "files")
+    table(spark, d, "lexicon").select("surface").coalesce(1).write.text(path)
+    return A.files(spark, path).select("source", "body_kind", "dedup", "trusted", F.size(X.lines(c("body"))).cast("bigint").alias("lines"))
+
+
+@query("e03_engine", "SELECT lex_id, surface, CASE WHEN length(surface) = 1 THEN NULL ELSE reverse(surface) END AS heard FROM lexicon")
+def e03(spark: SparkSession, d: str) -> DataFrame:
+    """An engine in Python that fails on texts of one character."""
+
+    def make() -> Callable[[dict], object]:
+        def call(row: dict) -> str:
+            if len(row["surface"]) == 1:
+                raise ValueError("too short")
+            return row["surface"][::-1]
+
+        return call
+
+    return harvest.per_partition(make, "heard", "string")(table(spark, d, "lexicon").select("lex_id", "surface"))
+
+
+@query("t04_table_tokens", "SELECT cand_id, reference_surface, l.reading FROM (SELECT DISTINCT cand_id, reference_surface FROM candidates) LEFT JOIN lexicon l ON surface = reference_surface")
+def t04(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of whole sentences from a table; none for unknown ones."""
+    known = table(spark, d, "lexicon").select(c("surface").alias("sentence"), F.array(tokens.token(c("surface"), c("reading"), F.lit(tokens.NOUN))).alias("tokens"))
+    rows = table(spark, d, "candidates").select("cand_id", "reference_surface").distinct()
+    return tokens.table_tokens(rows, "reference_surface", known).select("cand_id", "reference_surface", F.expr("try_element_at(tokens, 1)")["reading"].alias("reading"))
+
+
+@query("t02_stored_tokens", "SELECT article_idx, sent_idx, count(*) AS tokens, string_agg(coalesce(surface, ''), '' ORDER BY tok_idx, token_id) AS surface FROM (SELECT DISTINCT token_id, article_idx, sent_idx, tok_idx, surface FROM tokens) GROUP BY ALL")
+def t02(spark: SparkSession, d: str) -> DataFrame:
+    t = tokens.stored_tokens(table(spark, d, "tokens"))
+    return t.select("article_idx", "sent_idx", F.size("tokens").cast("bigint").alias("tokens"), F.array_join(F.transform("tokens", lambda x: F.coalesce(x["surface"], F.lit(""))), "").alias("surface"))
+
+
+@query("t02_lattice")
+def t02_lattice(spark: SparkSession, d: str) -> DataFrame:
+    """All documents cut by least cost over the lexicon; a word costs less the longer it is, as long words are rarely chance."""
+    lex = [(r["surface"], r["reading"], 12.0 - min(len(r["surface"]), 6)) for r in table(spark, d, "lexicon").toLocalIterator()]  # a word list
+    t = table(spark, d, "documents").select("doc_id", F.explode(lattice.lattice_tokens(c("text"), lex)).alias("t"))
+    return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(c("t.pos") == "名詞").alias("known"), F.sum(F.char_length("t.surface")).alias("chars"))
+
+
+@query("t06_whole_sentences")
+def t06_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sentences, repeated tokens and all, against misheard ones: every fifth token is lost, every seventh comes twice, every
+    ninth is heard as another. Blocks of all kinds, by the diff; brute force in the tests."""
+    p = tokens.stored_tokens(table(spark, d, "tokens")).withColumnRenamed("tokens", "reference")
+    other = lambda t: tokens.token(F.concat(t["surface"], F.lit("#")), t["reading"], t["pos"])
+    heard = F.flatten(F.transform("reference", lambda t, i: F.when(F.pmod(i, F.lit(5)) == 4, F.array().cast(TOKENS)).when(F.pmod(i, F.lit(7)) == 3, F.array(t, t)).when(F.pmod(i, F.lit(9)) == 5, F.array(other(t))).otherwise(F.array(t))))
+    blocks = p.select("article_idx", "sent_idx", F.explode(diff.diff_rows(c("reference"), heard)).alias("b"))
+    return blocks.groupBy("article_idx", "sent_idx").agg(F.sum(F.when(c("b.tag") == "equal", F.size("b.reference")).otherwise(0)).alias("equal_tokens"), F.count_if(c("b.tag") == "replace").alias("replaced"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..operators import state
 
 
 def text_or_empty(payload: Column, path: str) -> Column:
@@ -15,7 +19,11 @@ def text_or_empty(payload: Column, path: str) -> Column:
 
 
 def count_or_zero(payload: Column, path: str) -> Column:
-    return F.coalesce(F.get_json_object(payload, path).try_cast("bigint"), F.lit(0))
+    """A JSON number at the path, of whole and not negative value, by its lowest 32 bits; anything else counts as 0."""
+    kind = F.schema_of_variant(F.variant_get(F.try_parse_json(payload), path, "variant"))
+    n = F.when(kind.rlike("^(BIGINT|DECIMAL)"), F.get_json_object(payload, path))
+    whole = F.when(n.rlike("^[0-9]{1,20}$"), n.cast("decimal(20,0)"))
+    return F.coalesce(F.when(whole < F.lit(str(2**64)).cast("decimal(20,0)"), (whole % F.lit(2**32).cast("decimal(20,0)")).cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -36,6 +44,25 @@ def markdown_items(items: DataFrame, n: int, payload: str = "payload", order: st
     return rows.where("id <> ''")
 
 
+def details(listing: DataFrame, archive: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(slug, payload) of the listed items: from the archive, else fetched. ``fetch`` adds ``payload`` to (slug), null where it failed:
+    that item is left out, the others stay."""
+    slugs = listing.select(text_or_empty(F.col("payload"), "$.slug").alias("slug")).where("slug <> ''").distinct()
+    known = state.cached(slugs, archive, "slug", "payload")
+    fresh = fetch(known.where("not hit").select("slug")).select("slug", "payload")
+    return known.where("hit").select("slug", "payload").unionByName(fresh.where("payload is not null"))
+
+
+def archived(items: DataFrame, path: str, key: str = "slug") -> bool:
+    """Keep payloads that the archive lacks; an archive that can't be written costs nothing but itself."""
+    try:
+        state.append_absent(items.where(f"{key} is not null and payload is not null").select(key, "payload"), path, key)
+    except Exception as e:
+        print(f"archive {path}: {e}", file=sys.stderr)
+        return False
+    return True
+
+
 def html_items(listing: DataFrame, details: DataFrame, n: int, host: str, order: str = "seq") -> DataFrame:
     """listing(seq, payload) joined with saved details(slug, payload): items without a slug, an article or a body are left out."""
     p, d = F.col("payload"), F.col("detail")

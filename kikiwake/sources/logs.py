@@ -29,10 +29,14 @@ def seen(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dictionary_words(content: Column) -> Column:
-    """Words of a dictionary text in order, repeats kept: a JSON document's terms, or the first tab-separated field of each line."""
-    words = F.transform(F.from_json(content, "terms array<struct<word string>>")["terms"], lambda t: t["word"])
+    """Words of a dictionary text in order, repeats kept: a JSON document's terms, or the first tab-separated field of each line.
+    Terms whose word is no string are skipped; a document without a list of terms is an error."""
+    terms = F.variant_get(F.try_parse_json(content), "$.terms", "array<variant>")
+    word = F.transform(terms, lambda t: F.struct(F.schema_of_variant(F.variant_get(t, "$.word", "variant")).alias("kind"), F.try_variant_get(t, "$.word", "string").alias("word")))
+    strings = F.transform(F.filter(word, lambda w: w["kind"] == "STRING"), lambda w: w["word"])
     flat = F.transform(lines(content), lambda x: trim(F.split_part(trim(x), F.lit("\t"), F.lit(1))))
-    return F.when(trim(content).startswith("{"), F.filter(words, lambda w: w.isNotNull())).otherwise(F.filter(flat, lambda w: w != ""))
+    document = F.coalesce(strings, F.raise_error(F.lit("a dictionary document without terms")).cast("array<string>"))
+    return F.when(trim(content).startswith("{"), document).otherwise(F.filter(flat, lambda w: w != ""))
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import sinks
 from ..functions.keys import sentence_hash
-from ..operators import collect, pipeline, state
-
-
-def source(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+from ..operators import collect, harvest, pipeline, state
+from ..session import Manifest, new_path, remove
+from ..sources import logs
+from ..types import LOOSE, TOKENS, NormalizeOptions, VoiceSpec
 
 
 def first_sentences(stream: DataFrame, text: str = "text", event_time: str | None = None, horizon: str = "30 days") -> DataFrame:
@@ -45,10 +47,58 @@ def log_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, _: state.append_absent(batch, path, key)
 
 
-def session(pairs: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Dictionary and rejects of all pairs of a session so far."""
-    outcomes = pipeline.process(pairs)
-    return collect.danger(outcomes, order), collect.rejects(outcomes)
+class Session:
+    """Pairs that come in one by one; dictionary and rejects of all of them so far can be asked for, saved and cleared. They lie in a
+    folder, so a session can be taken up again."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, opts: NormalizeOptions = LOOSE):
+        self.spark, self.path, self.opts = spark, path or new_path(spark, "session"), opts
+        self.manifest = Manifest(spark, self.path, {"parts": []})
+        self.manifest.sweep(set(self.manifest.state["parts"]))
+
+    def add(self, pairs: DataFrame) -> None:
+        """pairs(reference, hypothesis) of token arrays; they come behind all before them."""
+        name = f"pairs-{self.manifest.version + 1:08d}-{uuid.uuid4().hex[:8]}"
+        rows = pairs.select(F.lit(self.manifest.version + 1).alias("turn"), F.monotonically_increasing_id().alias("seq"), "reference", "hypothesis")
+        rows.write.parquet(f"{self.path}/{name}")
+        self.manifest.commit({"parts": [*self.manifest.state["parts"], name]})
+
+    def outcomes(self) -> DataFrame:
+        schema = f"turn int, seq bigint, reference {TOKENS}, hypothesis {TOKENS}"
+        parts = [f"{self.path}/{p}" for p in self.manifest.state["parts"]]
+        return pipeline.process(self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema), opts=self.opts)
+
+    def dictionary(self) -> DataFrame:
+        return collect.danger(self.outcomes(), ["turn", "seq", "block_idx"])
+
+    def rejects(self) -> DataFrame:
+        return collect.rejects(self.outcomes().orderBy("turn", "seq", "block_idx"))
+
+    def save(self, dictionary: IO[str], rejects: IO[str] | None = None, format: str | None = None) -> None:
+        sinks.write_dictionary(self.dictionary(), dictionary, format)
+        if rejects:
+            sinks.write_lines(sinks.reject_lines(self.rejects()), rejects)
+
+    def clear(self) -> None:
+        gone = self.manifest.state["parts"]
+        self.manifest.commit({"parts": []})
+        remove(self.spark, *[f"{self.path}/{p}" for p in gone])
+
+
+def nightly(articles: DataFrame, folder: str, voices: list[VoiceSpec], model: str, synthesize: Callable, recognize: Callable, tokenize: Callable, min_votes: int = 1, opts: NormalizeOptions = LOOSE) -> DataFrame:
+    """Work off the articles that have arrived, through the caches, the log of what was seen and the votes, and return the merged
+    counts of all nights in their order. A batch that is repeated after a failure replaces its own counts."""
+    spark = articles.sparkSession
+
+    def night(batch: DataFrame, n: int) -> None:
+        rows = batch.withColumn("dedup", F.coalesce("dedup", F.lit(False))).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+        seen = logs.seen(spark, f"{folder}/seen")
+        out = harvest.run_cached(rows, seen, voices, model, folder, synthesize, recognize, tokenize, min_votes=min_votes, opts=opts)
+        out.danger.select("word", "count").write.mode("overwrite").parquet(f"{folder}/counts/batch={n}")
+        state.append_seen(out.seen, seen, f"{folder}/seen")
+
+    catch_up(articles, night, f"{folder}/checkpoint").awaitTermination()
+    return collect.positions(collect.merged(state.stored(spark, f"{folder}/counts", "word string, count bigint"))).orderBy("pos")
 
 
 def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
