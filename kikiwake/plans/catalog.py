@@ -59,12 +59,12 @@ PARTIAL = NormalizeOptions(dakuten=True, prolonged=True, sokuon=False, small=Fal
 # ---------------------------------------------------------------- scalar functions
 
 columns("m01_katakana", "tokens", ["token_id"], lambda: {"kana": R.to_katakana(c("surface"))}, {"kana": S.katakana("surface")})
-columns("m02_dakuten", "tokens", ["token_id"], lambda: {"plain": R.strip_dakuten(c("reading"))}, {"plain": f"translate(reading, '{R.VOICED}', '{R.PLAIN}')"})
-columns("m03_small", "tokens", ["token_id"], lambda: {"full_size": R.enlarge_small(c("reading"))}, {"full_size": f"translate(reading, '{R.SMALL}', '{R.FULL}')"})
+columns("m02_dakuten", "tokens", ["token_id"], lambda: {"plain": R.strip_dakuten(c("reading"))}, {"plain": f"translate(reading, '{S.MARKED}', '{S.UNMARKED}')"})
+columns("m03_small", "tokens", ["token_id"], lambda: {"full_size": R.enlarge_small(c("reading"))}, {"full_size": f"translate(reading, '{S.LITTLE}', '{S.LARGE}')"})
 columns("m07_normalize_loose", "tokens", ["token_id"], lambda: {"norm": R.normalize(c("reading"), LOOSE)}, {"norm": S.normalize("reading", LOOSE)})
 columns("m07_normalize_strict", "tokens", ["token_id"], lambda: {"norm": R.normalize(c("reading"), STRICT)}, {"norm": S.normalize("reading", STRICT)})
 columns("m08_normalize_partial", "candidates", ["cand_id"], lambda: {"norm": R.normalize(c("hypothesis_reading"), PARTIAL)}, {"norm": S.normalize("hypothesis_reading", PARTIAL)})
-columns("m09_char_ratio", "documents", ["doc_id"], lambda: {"japanese": X.japanese_ratio(c("text")), "kanji": X.kanji_ratio(c("text"))}, {"japanese": S.ratio("text", X.JAPANESE), "kanji": S.ratio("text", X.KANJI)})
+columns("m09_char_ratio", "documents", ["doc_id"], lambda: {"japanese": X.japanese_ratio(c("text")), "kanji": X.kanji_ratio(c("text"))}, {"japanese": S.ratio("text", S.JAPANESE), "kanji": S.ratio("text", S.KANJI)})
 columns("m10_normalize_sentence", "documents", ["doc_id"], lambda: {"norm": X.without_space(c("text"))}, {"norm": S.without_space("text")})
 columns("m11_content_key", "documents", ["doc_id"], lambda: {"key": K.content_key(F.coalesce("source", F.lit("")), c("text"))}, {"key": S.content_key("coalesce(source, '')", "text")})
 columns("m12_sentence_hash", "documents", ["doc_id"], lambda: {"key": K.sentence_hash(c("text"))}, {"key": S.sentence_hash("text")})
@@ -73,7 +73,7 @@ columns("m18_lines", "articles", ["article_idx"], lambda: {"lines": X.lines(c("b
 columns("t13_strip_punct", "documents", ["doc_id"], lambda: {"stripped": X.strip_punct(c("text"))}, {"stripped": "translate(text, '、。，．', '')"})
 
 
-@query("m04_vowels", f"SELECT lex_id, i - 1 AS pos, {S.vowel('ch')} AS vowel, contains('{R.ALONE}', ch) AS alone FROM (SELECT lex_id, unnest(string_split(reading, '')) AS ch, generate_subscripts(string_split(reading, ''), 1) AS i FROM lexicon)")
+@query("m04_vowels", f"SELECT lex_id, i - 1 AS pos, {S.vowel('ch')} AS vowel, contains('{S.LONE}', ch) AS alone FROM (SELECT lex_id, unnest(string_split(reading, '')) AS ch, generate_subscripts(string_split(reading, ''), 1) AS i FROM lexicon)")
 def m04(spark: SparkSession, d: str) -> DataFrame:
     chars = table(spark, d, "lexicon").select("lex_id", F.posexplode(F.filter(F.split("reading", ""), lambda x: x != "")).alias("pos", "ch"))
     return chars.select("lex_id", c("pos").cast("bigint").alias("pos"), R.vowel_of(c("ch")).alias("vowel"), F.lit(R.ALONE).contains(c("ch")).alias("alone"))
@@ -100,11 +100,11 @@ def m20(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- extraction
 
 columns("x01_plain", "articles", ["article_idx"], lambda: {"plain": X.plain_text(c("body_kind"), c("body"))}, {"plain": S.plain("body_kind", "body")})
-columns("x02_fence", "articles", ["article_idx"], lambda: {"kept": X.strip_fences(c("body"))}, {"kept": S.sub("body", X.FENCE)})
-columns("x03_tables", "articles", ["article_idx"], lambda: {"kept": X.strip_tables(c("body"))}, {"kept": S.sub("body", X.TABLE_ROW)})
-columns("x04_markers", "articles", ["article_idx"], lambda: {"kept": X.strip_markers(c("body"))}, {"kept": S.sub("body", X.MARKERS)})
-columns("x05_links", "articles", ["article_idx"], lambda: {"kept": X.strip_links(c("body"))}, {"kept": S.sub("body", X.LINK, "\\1")})
-columns("x06_urls", "articles", ["article_idx"], lambda: {"kept": X.strip_urls(c("body"))}, {"kept": S.sub("body", X.URL)})
+columns("x02_fence", "articles", ["article_idx"], lambda: {"kept": X.strip_fences(c("body"))}, {"kept": S.fences("body")})
+columns("x03_tables", "articles", ["article_idx"], lambda: {"kept": X.strip_tables(c("body"))}, {"kept": S.tables("body")})
+columns("x04_markers", "articles", ["article_idx"], lambda: {"kept": X.strip_markers(c("body"))}, {"kept": S.markers("body")})
+columns("x05_links", "articles", ["article_idx"], lambda: {"kept": X.strip_links(c("body"))}, {"kept": S.links("body")})
+columns("x06_urls", "articles", ["article_idx"], lambda: {"kept": X.strip_urls(c("body"))}, {"kept": S.addresses("body")})
 columns("x07_emphasis", "articles", ["article_idx"], lambda: {"kept": X.strip_emphasis(c("body"))}, {"kept": "translate(body, '`*', '')"})
 columns("x08_html", "articles", ["article_idx"], lambda: {"kept": X.strip_tags(c("body"))}, {"kept": S.tags("body")})
 columns("x09_entities", "articles", ["article_idx"], lambda: {"kept": X.decode_entities(c("body"))}, {"kept": S.entities("body")})
@@ -125,11 +125,11 @@ def x10(spark: SparkSession, d: str) -> DataFrame:
 def _extract_sql(o: ExtractOptions, base: str = _SENT) -> str:
     ok = f"length(text) BETWEEN {o.min_len} AND {o.max_len}"
     if o.min_japanese_ratio > 0:
-        ok += f" AND {S.ratio('text', X.JAPANESE)} >= {o.min_japanese_ratio}"
+        ok += f" AND {S.ratio('text', S.JAPANESE)} >= {o.min_japanese_ratio}"
     if o.check_residue:
         ok += f" AND NOT {S.residue('text')}"
     first = f"SELECT * FROM ({base}) WHERE {ok} QUALIFY row_number() OVER (PARTITION BY article_idx, {S.without_space('text')} ORDER BY sent_idx) = 1"
-    return f"SELECT article_idx, sent_idx, text, {S.ratio('text', X.KANJI)} AS kanji_ratio FROM ({first}) QUALIFY row_number() OVER (PARTITION BY article_idx ORDER BY kanji_ratio DESC, sent_idx) <= {o.max_per_article}"
+    return f"SELECT article_idx, sent_idx, text, {S.ratio('text', S.KANJI)} AS kanji_ratio FROM ({first}) QUALIFY row_number() OVER (PARTITION BY article_idx ORDER BY kanji_ratio DESC, sent_idx) <= {o.max_per_article}"
 
 
 _OPTIONS = ExtractOptions(max_per_article=3)
@@ -154,9 +154,9 @@ def on_sentences(name: str, keep: Callable[[], F.Column], sql: str) -> None:
     query(name, f"SELECT article_idx, sent_idx FROM ({_SENT}) WHERE {sql}")(lambda spark, d: _sentences(spark, d).where(keep()).select("article_idx", "sent_idx"))
 
 
-on_sentences("f01_passes", lambda: extract.passes(c("text"), ExtractOptions()), f"length(text) BETWEEN 20 AND 80 AND {S.ratio('text', X.JAPANESE)} >= 0.5 AND NOT {S.residue('text')}")
+on_sentences("f01_passes", lambda: extract.passes(c("text"), ExtractOptions()), f"length(text) BETWEEN 20 AND 80 AND {S.ratio('text', S.JAPANESE)} >= 0.5 AND NOT {S.residue('text')}")
 on_sentences("f02_length", lambda: extract.long_enough(c("text"), ExtractOptions()), "length(text) BETWEEN 20 AND 80")
-on_sentences("f03_japanese", lambda: X.japanese_ratio(c("text")) >= 0.5, f"{S.ratio('text', X.JAPANESE)} >= 0.5")
+on_sentences("f03_japanese", lambda: X.japanese_ratio(c("text")) >= 0.5, f"{S.ratio('text', S.JAPANESE)} >= 0.5")
 on_sentences("f04_residue", lambda: X.has_residue(c("text")), S.residue("text"))
 on_sentences("f05_brackets", lambda: X.unbalanced(c("text")), f"NOT {S.balanced('text')}")
 
@@ -203,7 +203,7 @@ def d03(spark: SparkSession, d: str) -> DataFrame:
     return state.first_by(rows, "audio", "article_idx").select("audio", c("title").alias("text"))
 
 
-@query("r01_topk", f"SELECT article_idx, sent_idx, {S.ratio('text', X.KANJI)} AS kanji_ratio FROM ({_SENT}) QUALIFY row_number() OVER (PARTITION BY article_idx ORDER BY kanji_ratio DESC, sent_idx) <= 3")
+@query("r01_topk", f"SELECT article_idx, sent_idx, {S.ratio('text', S.KANJI)} AS kanji_ratio FROM ({_SENT}) QUALIFY row_number() OVER (PARTITION BY article_idx ORDER BY kanji_ratio DESC, sent_idx) <= 3")
 def r01(spark: SparkSession, d: str) -> DataFrame:
     return extract.top_per_article(_sentences(spark, d), 3).select("article_idx", "sent_idx", "kanji_ratio")
 
