@@ -2,9 +2,10 @@
 
 Method: mixture-controlled packing by deficit round-robin. Items wait in one queue per source. In each container (window) the queues
 are visited in turn, beginning where the window before left off: a visit adds the quantum, ``share x capacity``, to the queue's
-deficit, and the queue gives its largest items that fit into the window as long as its deficit pays for them. What room is left then is
-lent: the queue with the greatest deficit that has a fitting item gives its largest one, so that windows are full; it pays with
-the quanta to come, since a queue below zero gives nothing in its turn. Deficits go on from window to window, and from partition to
+deficit, and the queue gives its largest items that fit into the window and of which its deficit pays at least a half. What room is
+left then is lent: the queue with the greatest deficit that has a fitting item gives its largest one, so that windows are full. What a queue
+gives beyond its deficit is paid with the quanta to come, since below zero it gives nothing in its turn. (To give only items that the
+deficit pays for in full would use up the small ones, which later windows need to be filled.) Deficits go on from window to window, and from partition to
 partition: whatever the windows of the partitions before do, they leave a queue its share of all tokens there less its own tokens
 there, up to the room left unused; that sum, from one row per (partition, source), is where a partition starts.
 
@@ -73,7 +74,7 @@ def fill(sizes: list[int], sources: list[int], shares: np.ndarray, owed: np.ndar
         for j in range(len(ladder)):
             s = (turn + j) % len(ladder)
             deficit[s] += quantum[s]
-            while ladder[s] and deficit[s] >= 0 and give(s, min(room, deficit[s])) >= 0:
+            while ladder[s] and deficit[s] > 0 and give(s, min(room, 2 * deficit[s])) >= 0:
                 pass
         turn = (turn + 1) % len(ladder)
         while left:
