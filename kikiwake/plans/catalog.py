@@ -14,7 +14,7 @@ from ..functions import keys as K
 from ..functions import reading as R
 from ..functions import text as X
 from ..operators import collect, diff, evaluate, extract, harvest, lattice, pipeline, state, tokens
-from ..session import broadcast_if_small, new_path, persisted, table
+from ..session import broadcast_if_small, new_path, persisted, small_side, table
 from ..sources import articles as A
 from ..sources import logs
 from ..types import LENIENT, LOOSE, SEEN, STRICT, TOKENS, ExtractOptions, NormalizeOptions, VoiceSpec
@@ -169,7 +169,13 @@ def outcomes(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     the readings. A row delivered again is the same row, so what is compared is what is wanted."""
     wanted = keep or ("article_key", "speaker", "reference_surface", "hypothesis_surface", "heard_at")
     once = table(spark, d, "candidates").select("cand_id", "reference_reading", "hypothesis_reading", *wanted).distinct()
-    read = once.withColumn("reference_reading", R.normalize(c("reference_reading"))).withColumn("hypothesis_reading", R.normalize(c("hypothesis_reading")))
+    # each distinct reading is normalized once; there are far fewer of them than outcomes
+    distinct = once.select(F.explode(F.array("reference_reading", "hypothesis_reading")).alias("reading")).where("reading is not null").distinct()
+    forms = persisted(distinct.withColumn("norm", R.normalize(c("reading"))), "readings")
+    hint = F.broadcast if small_side(forms, 100_000) else (lambda df: df)
+    read = once
+    for side in ("reference_reading", "hypothesis_reading"):
+        read = read.join(hint(forms.select(c("reading").alias(side), c("norm").alias(f"{side}_norm"))), side, "left").drop(side).withColumnRenamed(f"{side}_norm", side)
     return read.withColumn("is_homophone", pipeline.homophone(c("reference_reading"), c("hypothesis_reading")))
 
 
