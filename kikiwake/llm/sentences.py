@@ -4,8 +4,7 @@ Method: a hidden-event n-gram language model. A block (the lines between two bla
 symbols in which boundary tokens are hidden; an interpolated trigram model (Witten-Bell) over the stream with its boundary tokens
 gives, by the forward-backward algorithm, the posterior of a boundary at every gap; gaps of at least one half end a sentence.
 
-The model is trained where it is used, on at most ``SAMPLE`` texts (the documented bound; the texts with the least hashes). Marks,
-quotations and block ends that leave no doubt label it. What they leave open - a full stop behind an abbreviation, an initial or
+The model is trained where it is used, on all texts: counts are made where the texts are and added up. Marks, quotations and block ends that leave no doubt label it. What they leave open - a full stop behind an abbreviation, an initial or
 an ordinal - is relabelled by the model itself, round by round (hard expectation-maximization); the lists of abbreviations are only
 where that begins. Words that stand before a full stop and a small letter more often than at the end of a block are taken for
 abbreviations too, though no list has them. Symbols carry what a trigram could not see: whether a quotation that closes was opened
@@ -13,7 +12,9 @@ at the start of a sentence, whether a text sets closing marks at all, the script
 
 A second model of the same kind has the words themselves (characters of Thai, Chinese and Japanese) and was trained with all marks and
 spaces left out. It decides in stretches without any mark that are longer than twice the longest sentence seen: there a
-boundary may stand between any two words. It learns from at most ``WORD_SAMPLE`` texts.
+boundary may stand between any two words. It is counted over all texts too, but for the blocks with such stretches, and only for the
+histories that these hold; without such stretches it isn't made. The longest sentence is the longest that a mark, or a gap of white
+space, ends: one that only its block ends tells nothing. Where none is seen, nothing is split.
 
 Edge cases: null, empty and blank texts have no units; very long texts are read block by block; an empty table trains an empty
 model and gives no rows; repeated rows give repeated units; other columns aren't read.
@@ -21,6 +22,7 @@ model and gives no rows; repeated rows give repeated units; other columns aren't
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from bisect import bisect_left
@@ -32,7 +34,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, WORD_SAMPLE, ROUNDS = 3_000, 400, 2
+from ..session import persisted
+
+ROUNDS, BLOCK_WORDS = 2, 100_000
+SEP = "\x1f"  # white space, so no symbol or word has it
 BOUNDARY = "<B>"
 MARKS = "。！？!?.…।॥｡．‥⋯"
 PAIRS = {"「": "」", "『": "』", "（": "）", "(": ")", "“": "”", "«": "»", "„": "“”", "《": "》", "【": "】", "〈": "〉", "[": "]", "［": "］", "〔": "〕", "‹": "›"}
@@ -53,6 +58,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _LATIN = regex.compile(r"\p{Latin}")
 _UNCASED = regex.compile(r"[\p{Hangul}\p{Devanagari}\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _TEXT = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Han}\p{Hiragana}\p{Katakana}ー]\p{M}*|[\p{L}\p{M}'’]+|\p{N}+")
+_MAY_ABBREVIATE = re.compile(f"[.．｡][{re.escape(CLOSERS)}]*\\s*(?:[,、，;；:：)）]|[^\\W\\d_A-Z])")
 _DOTS = re.compile(r"^(?:\.{2,}|[…‥⋯]+\.*|．{2,})$")
 
 
@@ -308,6 +314,13 @@ def with_boundaries(symbols: list[str], ends: set[int]) -> list[str]:
     return out
 
 
+def grams(x: list[str]) -> Iterator[tuple[str, ...]]:
+    for k in range(len(x)):
+        for n in (1, 2, 3):
+            if k + 1 >= n:
+                yield tuple(x[k + 1 - n : k + 1])
+
+
 class EventModel:
     """Interpolated trigram model over symbols and boundary tokens; kinds[h] is the number of symbols seen after history h."""
 
@@ -325,10 +338,7 @@ class EventModel:
     def train(cls, streams: Iterable[list[str]], known: frozenset[str] = frozenset()) -> EventModel:
         counts: Counter = Counter()
         for x in streams:
-            for k in range(len(x)):
-                for n in (1, 2, 3):
-                    if k + 1 >= n:
-                        counts[tuple(x[k + 1 - n : k + 1])] += 1
+            counts.update(grams(x))
         return cls(counts, known)
 
     def p(self, *g: str) -> float:
@@ -393,14 +403,20 @@ def seed_streams(text: str, known: frozenset[str] = frozenset()) -> Iterator[lis
         yield with_boundaries(symbols, {k for k, g in zip(at, found) if g.boundary})
 
 
+def _before_dots(text: str, inside: Counter, at_end: Counter) -> None:
+    """Counts of the words before full stops, with a small letter or a pause behind, and at the ends of blocks."""
+    if _MAY_ABBREVIATE.search(text):
+        for _, _, found in streams(text):
+            inside.update(g.word for g in found if g.word.isalpha() and g.after.lstrip("_") in ("low", "pause"))
+    at_end.update(_word(text, b - 1).lower() for _, b in blocks(text) if text[b - 1] == ".")
+
+
 def learn(texts: list[str], rounds: int = ROUNDS) -> EventModel:
     """An event model of texts: abbreviations first, then the seed's labels, then those of the model where the seed is in doubt."""
     parsed = [x for t in texts for x in streams(t)]
     inside, at_end = Counter(), Counter()
-    for _, _, found in parsed:
-        inside.update(g.word for g in found if g.word.isalpha() and g.after.lstrip("_") in ("low", "pause"))
     for text in texts:
-        at_end.update(_word(text, b - 1).lower() for _, b in blocks(text) if text[b - 1] == ".")
+        _before_dots(text, inside, at_end)
     known = frozenset(w for w, n in inside.items() if n >= 2 and n > at_end[w] and w not in OPEN_ABBREVIATIONS and w not in END_ABBREVIATIONS)
     if known:
         parsed = [x for t in texts for x in streams(t, known)]
@@ -426,17 +442,24 @@ class WordModel:
 
     @classmethod
     def learn(cls, texts: Iterable[str], model: EventModel) -> WordModel:
-        streams, longest = [], 0
-        for text in texts:
-            found = list(units(text, model))
-            for a, b in blocks(text):
-                out = ["<s>"]
-                for x, y in found:
-                    if a <= x < b and (words := [w for w, *_ in cls.tokens(text[x:y])]):
-                        longest = max(longest, len(words))
-                        out += [*words, BOUNDARY]
-                streams.append([*out, "</s>"])
-        return cls(EventModel.train(streams).counts, longest)
+        texts = list(texts)
+        longest = max((len(cls.tokens(t[x:y])) for t in texts for x, y, told in told_units(t, model) if told), default=0)
+        return cls(EventModel.train(x for t in texts for x in cls.streams(t, model, longest)).counts, longest)
+
+    @classmethod
+    def streams(cls, text: str, model: EventModel, longest: int) -> Iterator[list[str]]:
+        """Training streams of a text, one a block, without the blocks that hold a stretch to be split."""
+        spans, out, at, skip = list(blocks(text)), ["<s>"], 0, False
+        for x, y in units(text, model):
+            while x >= spans[at][1]:
+                if not skip:
+                    yield [*out, "</s>"]
+                out, at, skip = ["<s>"], at + 1, False
+            words = [w for w, *_ in cls.tokens(text[x:y])]
+            skip = skip or stretch(text[x:y], len(words), longest)
+            out += [*words, BOUNDARY] if words else []
+        if spans and not skip:
+            yield [*out, "</s>"]
 
     def cut(self, s: str, threshold: float = 0.5) -> list[int]:
         """Positions behind words at which a sentence ends, none inside brackets or quotations."""
@@ -455,6 +478,27 @@ class WordModel:
         return [words[n - 1][2] for n, p in zip(free, self.model.posteriors(symbols, free)) if p >= threshold]
 
 
+def stretch(part: str, words: int, longest: int) -> bool:
+    """Whether a unit is to be split by its words."""
+    return 0 < 2 * longest < words and not any(c in MARKS for c in part[:-1])
+
+
+def told_units(text: str, model: EventModel) -> Iterator[tuple[int, int, bool]]:
+    """Units, and whether a mark or a gap ends each, and not its block alone."""
+    ends = {b for _, b in blocks(text)} if text else set()
+    for x, y in units(text, model):
+        yield x, y, y not in ends or text[y - 1] in MARKS or text[y - 1] in CLOSERS
+
+
+def split(part: str, cuts: list[int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the pieces of a part that is cut at some positions."""
+    start = 0
+    for end in [*cuts, len(part)]:
+        if part[start:end].strip():
+            yield _strip(part, start, end)
+        start = end
+
+
 def units(text: str | None, model: EventModel, words: WordModel | None = None, threshold: float = 0.5) -> Iterator[tuple[int, int]]:
     """(start, end) of the sentence units of a text."""
     if not text:
@@ -470,48 +514,143 @@ def units(text: str | None, model: EventModel, words: WordModel | None = None, t
             part = s[start:end]
             if not part.strip():
                 continue
-            if words and end - start > 2 * words.longest and not any(c in MARKS for c in part[:-1]) and len(words.tokens(part)) > 2 * words.longest:
-                for cut in words.cut(part):
-                    x, y = _strip(s, start, end - len(part) + cut)
-                    yield a + x, a + y
-                    start = end - len(part) + cut
-            if s[start:end].strip():
-                x, y = _strip(s, start, end)
-                yield a + x, a + y
+            cuts = words.cut(part) if words and end - start > 2 * words.longest and stretch(part, len(words.tokens(part)), words.longest) else []
+            for x, y in split(part, cuts):
+                yield a + start + x, a + start + y
             start = end
 
 
-def train(texts: DataFrame, sample: int = SAMPLE, words: int = WORD_SAMPLE) -> tuple[EventModel, WordModel]:
-    """Models of at most ``sample``, and ``words``, of the texts (column ``text``): those with the least hashes."""
-    rows = [r["text"] for r in texts.where(F.col("text") != "").select("text").orderBy(F.xxhash64("text")).limit(sample).toLocalIterator()]
-    model = learn(rows)
-    return model, WordModel.learn(rows[:words], model)
+def _table(columns: dict[str, list], **kinds: str) -> pd.DataFrame:
+    """Columns of Python's own strings, which may be empty, and of the kinds named."""
+    return pd.DataFrame({c: pd.Series(v, dtype=kinds.get(c, "object")) for c, v in columns.items()})
 
 
-def sentences(texts: DataFrame, key: str, models: tuple[EventModel, WordModel] | None = None) -> DataFrame:
-    """texts(key, text) -> (key, start_pos, end_pos) of every sentence unit."""
-    model, words = models or train(texts)
-    context = texts.sparkSession.sparkContext
-    held = context.broadcast((dict(model.counts), model.known, words.longest))  # both are bounded by the samples
-    held_words = context.broadcast(dict(words.model.counts))
-    kind = texts.schema[key].dataType.simpleString()
+def train(texts: DataFrame) -> EventModel:
+    """``learn`` over all texts (column ``text``). What reaches the driver: abbreviations, and n-grams of symbols, of which there are few."""
+    text = texts.where("text <> ''").select("text")
 
-    class Late(WordModel):
-        """Loaded where it is first needed."""
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            inside, at_end = Counter(), Counter()
+            for t in pdf["text"]:
+                _before_dots(t, inside, at_end)
+            words = [*inside.keys() | at_end.keys()]
+            yield _table({"word": words, "inside": [inside[w] for w in words], "at_end": [at_end[w] for w in words]}, inside="int64", at_end="int64")
 
-        def __init__(self, longest: int):
-            self.longest, self._model = longest, None
+    seen = text.mapInPandas(look, "word string, inside bigint, at_end bigint").groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("at_end").alias("at_end"))
+    known = frozenset(r["word"] for r in seen.where("inside >= 2 and inside > at_end").collect()) - OPEN_ABBREVIATIONS - END_ABBREVIATIONS
 
-        @property
-        def model(self) -> EventModel:
-            self._model = self._model or EventModel(Counter(held_words.value))
-            return self._model
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """n-grams of the blocks whose labels stay, and the other blocks themselves."""
+        for pdf in parts:
+            counts, others = Counter(), Counter()
+            for symbols, at, found in (x for t in pdf["text"] for x in streams(t, known)):
+                seed = [int(g.boundary and not (g.open and g.before[2:] in known)) for g in found]
+                if any(g.open for g in found):
+                    others[json.dumps([symbols, at, seed, [int(g.open) for g in found]])] += 1
+                else:
+                    counts.update(grams(with_boundaries(symbols, {k for k, e in zip(at, seed) if e})))
+            yield _table({"open": [False] * len(counts) + [True] * len(others), "g": [*map(SEP.join, counts), *others], "n": [*counts.values(), *others.values()]}, open="bool", n="int64")
+
+    parsed = persisted(text.mapInPandas(parse, "open boolean, g string, n bigint").groupBy("open", "g").agg(F.sum("n").alias("n")), "parsed")
+    closed = Counter({tuple(r["g"].split(SEP)): r["n"] for r in parsed.where("not open").collect()})
+    model = None
+    for _ in range(ROUNDS + 1):
+        held = text.sparkSession.sparkContext.broadcast(dict(model.counts) if model else None)
+
+        def label(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            m = EventModel(Counter(held.value), known) if held.value is not None else None
+            for pdf in parts:
+                counts: Counter = Counter()
+                for g, n in zip(pdf["g"], pdf["n"]):
+                    symbols, at, seed, opened = json.loads(g)
+                    ends = [p >= 0.5 if o else e for p, o, e in zip(m.posteriors(symbols, at), opened, seed)] if m else seed
+                    for x in grams(with_boundaries(symbols, {k for k, e in zip(at, ends) if e})):
+                        counts[x] += int(n)
+                yield _table({"g": [*map(SEP.join, counts)], "n": [*counts.values()]}, n="int64")
+
+        rows = parsed.where("open").mapInPandas(label, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()
+        model = EventModel(closed + Counter({tuple(r["g"].split(SEP)): r["n"] for r in rows}), known)
+        if not rows:
+            break
+    return model
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, known, longest = held.value
-        m, w = EventModel(Counter(counts), known), Late(longest)
+
+class _Counted(EventModel):
+    """A model of the n-grams, and histories, that some stretches ask for."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.counts, self.total, self.kinds, self.memo = Counter(), Counter(), Counter(), {}
+        for h, x, n, total, kinds in zip(rows["h"], rows["x"], rows["n"], rows["total"], rows["kinds"]):
+            history = tuple(h.split(SEP)) if h else ()
+            self.counts[(*history, x)], self.total[history], self.kinds[history] = int(n), int(total), int(kinds)
+        self.size = max(1, self.kinds[()]) + 1
+
+
+def _asked(part: str) -> set[tuple[str, ...]]:
+    """The n-grams that the posteriors of a stretch may ask for."""
+    x = ["<s>", *(w for w, *_ in WordModel.tokens(part)), BOUNDARY, "</s>"]
+    full = {(b, h, y) for k in range(1, len(x)) for b in (x[k - 2] if k > 1 else BOUNDARY, BOUNDARY) for h in (x[k - 1],) for y in (x[k], BOUNDARY)} | {(h, BOUNDARY, y) for h, y in zip(x, x[1:])}
+    return {g[k:] for g in full for k in range(3)}
+
+
+def _split_stretches(texts: DataFrame, found: DataFrame, key: str, kind: str, model: EventModel, longest: int, words: int) -> DataFrame:
+    """found(key, start_pos, end_pos, part) of the stretches, of that many words, split by a model of the words of all texts. Blocks of
+    stretches meet the counts that they ask for, so neither is held as a whole."""
+    held = texts.sparkSession.sparkContext.broadcast((dict(model.counts), model.known))
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = EventModel(Counter(held.value[0]), held.value[1])
         for pdf in parts:
-            rows = [(k, a, b) for k, t in zip(pdf[key], pdf["text"]) for a, b in units(t, m, w)]
-            yield pd.DataFrame(rows, columns=[key, "start_pos", "end_pos"])
+            counts = Counter(g for t in pdf["text"] if t for x in WordModel.streams(t, m, longest) for g in grams(x))
+            yield _table({"h": [SEP.join(g[:-1]) for g in counts], "x": [g[-1] for g in counts], "n": [*counts.values()]}, n="int64")
 
-    return texts.select(key, "text").mapInPandas(cut, f"`{key}` {kind}, start_pos int, end_pos int")
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = list({(int(b), SEP.join(g[:-1]), g[-1]) for b, part in zip(pdf["block"], pdf["part"]) for g in _asked(part)})
+            yield _table({"block": [r[0] for r in rows], "h": [r[1] for r in rows], "x": [r[2] for r in rows]}, block="int32")
+
+    def cut(stretches: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        w = WordModel(Counter(), longest)
+        w.model = _Counted(rows)
+        out = [(k, a + x, a + y) for k, a, part in zip(stretches[key], stretches["start_pos"], stretches["part"]) for x, y in split(part, w.cut(part))]
+        return pd.DataFrame(out, columns=[key, "start_pos", "end_pos"])
+
+    blocked = found.withColumn("block", F.pmod(F.xxhash64(key, "start_pos"), F.lit(-(-words // BLOCK_WORDS))).cast("int"))
+    asked = persisted(blocked.select("block", "part").mapInPandas(ask, "block int, h string, x string").distinct(), "asked")
+    counts = texts.select("text").mapInPandas(count, "h string, x string, n bigint").join(asked.select("h").distinct(), "h", "left_semi")
+    counts = persisted(counts.groupBy("h", "x").agg(F.sum("n").alias("n")), "counts")
+    totals = counts.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    rows = asked.join(totals, "h").join(counts, ["h", "x"], "left").select("block", "h", "x", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds")
+    return blocked.select("block", key, "start_pos", "part").groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(cut, f"`{key}` {kind}, start_pos int, end_pos int")
+
+
+def sentences(texts: DataFrame, key: str) -> DataFrame:
+    """texts(key, text) -> (key, start_pos, end_pos) of every sentence unit."""
+    texts = texts.select(key, "text")
+    model, kind = train(texts), texts.schema[key].dataType.simpleString()
+    held = texts.sparkSession.sparkContext.broadcast((dict(model.counts), model.known))
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Units; words are counted where a unit may be the longest or a stretch, which no shorter one than the longest so far can be."""
+        m, longest = EventModel(Counter(held.value[0]), held.value[1]), 0
+        for pdf in parts:
+            rows = []
+            for k, t in zip(pdf[key], pdf["text"]):
+                for x, y, told in told_units(t, m):
+                    n = len(WordModel.tokens(t[x:y])) if y - x > longest else 0
+                    longest = max(longest, n) if told else longest
+                    rows.append((k, x, y, n, told, t[x:y] if n > 2 * longest else None))
+            found = pd.DataFrame(rows, columns=[key, "start_pos", "end_pos", "words", "told", "part"])
+            yield found.astype({"part": object})
+
+    found = persisted(texts.mapInPandas(cut, f"`{key}` {kind}, start_pos int, end_pos int, words int, told boolean, part string"), "units")
+    longest = found.where("told").agg(F.max("words")).first()[0] or 0
+    marks = F.col("part").substr(F.lit(1), F.length("part") - 1).rlike(f"[{re.escape(MARKS)}]")
+    long = F.coalesce((F.lit(longest) > 0) & (F.col("words") > 2 * longest) & ~marks, F.lit(False))
+    stretches = found.where(long)
+    words = stretches.agg(F.sum("words")).first()[0]
+    if not words:
+        return found.select(key, "start_pos", "end_pos")
+    pieces = _split_stretches(texts, stretches.select(key, "start_pos", "end_pos", "part"), key, kind, model, longest, words)
+    return found.where(~long).select(key, "start_pos", "end_pos").unionByName(pieces)

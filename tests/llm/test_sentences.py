@@ -104,3 +104,24 @@ def test_long_words_brackets_and_prefixes(model):
     assert cut(model, f"See {word}.{word} here. Next one.") == [f"See {word}.{word} here.", "Next one."]
     assert S._word("x" * 5000, 5000) == "x" * 5000
     assert S._after("ab. " + "März" + "z" * 100, 3) == "_Up"
+
+
+def test_all_texts_are_learned_from(spark):
+    """No text is left out: counts, abbreviations and the longest sentence are those of the whole table."""
+    texts = [f"Note {k} came, as said. It was read by J. K. Roe on the {k % 7 + 1}. Mai there.\n\nWe saw it. Then we left." for k in range(3_300)]
+    texts[7::1_100] = ["The plan holds, exempl. as in case. Dr. No went etc. Then more."] * 3
+    want, got = S.learn(texts), S.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert got.known == want.known == {"exempl"} and got.counts == want.counts
+    assert sum(n for g, n in got.counts.items() if g == ("<s>",)) == 2 * 3_297 + 3
+
+
+def test_stretches_by_the_words_of_all_texts(spark):
+    """The table does as models in memory do; a stretch doesn't set the length that it is measured by, in small tables either."""
+    ja = ["記録を移した", "次の回を待つ", "音声を聞いた", "辞書を直した"]
+    texts = ["".join(ja[(k + i) % 4] + "。" for i in range(4)) for k in range(12)]
+    run = "".join([*ja, *ja[::2], *ja[1::2], *ja])
+    texts.append(run)
+    got = S.sentences(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id").where("id = 12").orderBy("start_pos").collect()
+    m = S.learn(texts)
+    assert [(r["start_pos"], r["end_pos"]) for r in got] == list(S.units(run, m, S.WordModel.learn(texts, m)))
+    assert [run[r["start_pos"] : r["end_pos"]] for r in got] == [*ja, *ja[::2], *ja[1::2], *ja]
