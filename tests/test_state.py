@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import random
+import tracemalloc
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +197,24 @@ def test_lattice(spark):
     assert [(x["surface"], x["pos"]) for x in rows[4]] == [("ab", "*"), ("12", "*")] and len(rows[5]) == 30_000
 
 
+def test_lattice_of_many_texts_at_a_time():
+    """Texts in one array are cut as each alone, and what is held at once grows with the longest text, not with their number."""
+    rnd = random.Random(4)
+    words = {w: (c, w + "よ") for w, c in (("音声", 7.0), ("声 認", 2.0), ("音", 4.0), ("カナ", 3.0), ("\n", 1.0), ("a1", 30.0), ("識\n音", 1.0))}
+    texts = [None if k % 9 == 4 else "".join(rnd.choices("音声認識カナいa1 \n", k=rnd.randrange(30))) for k in range(400)]
+    [got] = lattice.token_arrays(iter([pa.array(texts)]), words)
+    for s, row in zip(texts, got.to_pylist()):
+        assert row == (None if s is None else [{"surface": s[a:b], "reading": words[s[a:b]][1] if known else s[a:b].replace("い", "イ"), "pos": "名詞" if known else "*"} for a, b, known in lattice.cut(s, words, 3)])
+    many = pa.array(["音声を認識して、語を数える。" * 70] * 2_000)
+    next(lattice.token_arrays(iter([pa.array(["音"])]), words))
+    tracemalloc.start()
+    sizes = [(len(x), x.nbytes) for x in lattice.token_arrays(iter([many]), words)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in sizes) == 2_000 and len(sizes) > 5 and max(b for _, b in sizes) < 20_000_000
+    assert peak < 100_000_000  # a dict for each of their 1.7 million tokens takes over 300 MB
+
+
 def test_diff_of_repeated_tokens():
     """As many equal tokens as a longest common subsequence has, over sequences full of repeats, losses and doublings."""
     rnd = random.Random(3)
